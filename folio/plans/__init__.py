@@ -1 +1 @@
-
+"""Named query plans over a folder of tables."""
