@@ -28,10 +28,9 @@ def counting_rows(postings: DataFrame, salts: int = SALTS) -> DataFrame:
     """
     return (
         postings.where("term is not null and term <> '' and doc_ord is not null and tf > 0")
-        .select("term", "doc_ord", "tf", F.pmod(F.xxhash64("doc_ord"), F.lit(salts)).cast("int").alias("salt"))
+        .select("term", "doc_ord", F.col("tf").cast("int").alias("tf"), F.pmod(F.xxhash64("doc_ord"), F.lit(salts)).cast("int").alias("salt"))
         .repartition("term", "salt")
-        .groupBy("term", "salt", "doc_ord", "tf")
-        .agg()
+        .distinct()
     )
 
 
