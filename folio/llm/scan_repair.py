@@ -1,2 +1,440 @@
-def found_noise(bloco, fonte): raise NotImplementedError
-def paragraphs(bloco, fonte): raise NotImplementedError
+"""Problem 1: repairing text from scanned pages, by a hidden Markov model over lines.
+
+Every line of a source is labelled as running line (cabecalho), page number (pagina), body (corpo)
+or break (quebra: a heading, a list item or the first line of a paragraph) by the Viterbi path of a
+hidden Markov model. Its observations are layout features: likeness to what the source prints on
+its pages, shape and value of a page number, place on the page, and how the line opens after the
+one before. The model starts from stated tables and is refined by expectation-maximisation on a
+bounded sample (SAMPLE segments). Words cut at line ends and misread words are then settled by the
+words of the whole collection, and paragraphs are put together again.
+
+A source is worked off in segments of SEGMENT places of the reading order, each with HALO places of
+its neighbours, so the largest source is split like any other. Repeated rows meet in their segment
+and count once. A misread word is one whose strokes (what scanning confuses is one stroke: rn and m,
+0 and o, c and e, ...) are those of a word RATIO times as frequent: one aggregation over words.
+
+Defined cases: blocks with null source, place or kind are dropped; null and blank texts have no
+line; a null page takes its neighbours' page; blocks of kind 'tabela' are left out; sources without
+a row of their own have no known running lines and keep repeated lines as body.
+"""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from folio.session import written
+
+SEGMENT, HALO = 256, 64
+SAMPLE = 300  # segments that the model is refined on, at most
+RATIO = 20
+STATES = ["cabecalho", "pagina", "corpo", "quebra"]
+HYPHENS = "-‐‑­¬"
+
+# Starting tables of the model: rows are the states, columns the values of a feature.
+START = {
+    "likeness": [[0.02, 0.08, 0.90], [0.98, 0.01, 0.01], [0.985, 0.01, 0.005], [0.97, 0.02, 0.01]],
+    "number": [[0.97, 0.02, 0.01], [0.02, 0.28, 0.70], [0.985, 0.01, 0.005], [0.985, 0.01, 0.005]],
+    "place": [[0.05, 0.85, 0.10], [0.05, 0.85, 0.10], [0.80, 0.09, 0.11], [0.80, 0.09, 0.11]],
+    "opening": [[0.20, 0.60, 0.20], [0.50, 0.40, 0.10], [0.97, 0.02, 0.01], [0.02, 0.73, 0.25]],
+}
+MOVES = [[0.02, 0.08, 0.60, 0.30], [0.60, 0.02, 0.28, 0.10], [0.03, 0.03, 0.79, 0.15], [0.02, 0.02, 0.86, 0.10]]
+FEATURES = list(START)
+
+_ROMAN = re.compile(r"[ivxlc]+\Z", re.I)
+_DIGIT = "0-9oOlIiZzSsBbGqg"  # digits and the letters they are misread as
+_NUMBER = re.compile(
+    rf"\W*(?:p[áa@]?[gq9]\w*\W*)?(?P<n>[{_DIGIT}□�·@]*|[ivxlc]+)(?:\s*(?:/|de)\s*[{_DIGIT}□�·@]+)?\W*\Z", re.I
+)
+_AS_DIGIT = str.maketrans("oOlIiZzSsBbGqg", "00111225588699"[:14])
+_HEADING = re.compile(r"(?:\d+(?:\.\d+)*\.?\s+)?[A-ZÀ-Þ][A-ZÀ-Þ\s,:()\-]{3,88}\Z")
+_BULLET = re.compile(r"\s*[•▪‣\-–]\s")
+_EDGE = re.compile(rf"\A\s*(?:[{_DIGIT}]{{1,4}}|[ivxlc]+)\s+(?=\S{{3,}})|[\s|,/·—-]+(?:[{_DIGIT}]{{1,4}}|[ivxlc]+)\s*\Z")
+
+
+def letters(s: str) -> str:
+    """Lower-case letters and single spaces: what is compared of a running line."""
+    return re.sub(r"[^a-zà-ÿ]+", " ", s.lower()).strip()
+
+
+def distance(a: str, b: str, most: int) -> int:
+    """Edit distance, or most + 1 as soon as it must be larger."""
+    if abs(len(a) - len(b)) > most or sum((Counter(a) - Counter(b)).values()) > most or sum((Counter(b) - Counter(a)).values()) > most:
+        return most + 1
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        if min(row) > most:
+            return most + 1
+    return row[-1]
+
+
+def running_likeness(line: str, title: str | None, body: str | None) -> int:
+    """2: the line is what the source prints on its pages (title, organ, both, a heading with the organ), give or
+    take one character in ten; 1: one in five; 0: it is not."""
+    if len(line) > 160 or not line.strip():
+        return 0
+    title, body = letters(title or ""), letters(body or "")
+    bare = {letters(x) for x in (line, _EDGE.sub("", line), _EDGE.sub("", _EDGE.sub("", line)))} - {""}
+    forms = {title, body, f"{body} edição de", f"{title} edição de", f"{body} {title}", f"{title} {body}"} - {""}
+    best = 0
+    for b in bare:
+        if b in forms:
+            return 2
+        for f in forms:
+            if len(f) >= 6:
+                d = distance(b, f, max(1, len(f) // 5))
+                best = max(best, 2 if d <= max(1, len(f) // 10) else 1 if d <= max(1, len(f) // 5) else 0)
+        if body and len(body) >= 6 and re.search(r"[—–|·]", line):
+            # a heading, then the organ
+            tail = letters(re.split(r"[—–|·]", _EDGE.sub("", line))[-1])
+            d = distance(tail, body, max(1, len(body) // 5))
+            if line[:1].isupper() or not line[:1].isalpha():
+                best = max(best, 2 if d <= max(1, len(body) // 10) else 1 if d <= max(1, len(body) // 5) else 0)
+    return best
+
+
+def roman(s: str) -> int:
+    v = [{"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}[c] for c in s.lower()]
+    return sum(-x if i + 1 < len(v) and v[i + 1] > x else x for i, x in enumerate(v))
+
+
+def page_number(text: str, page: float | None) -> int:
+    """2: only a page number, that of the page; 1: only something shaped like one; 0: neither."""
+    t = text.strip()
+    if not t or len(t) > 24 or "\n" in t or t.endswith((".", ",", "%")):
+        return 0
+    m = _NUMBER.match(t)
+    if not m or not m["n"] or (m["n"].isalpha() and not _ROMAN.match(m["n"]) and not re.search(r"[\d\W]", t)):
+        return 0
+    n = m["n"]
+    values = set()
+    if _ROMAN.match(n):
+        values.add(roman(n))
+    d = n.translate(_AS_DIGIT)
+    if d.isdigit():
+        values.add(int(d))
+    if page is not None and page == page and int(page) in values:
+        return 2
+    return 1 if re.search(r"\d", n) or _ROMAN.match(n) or re.search(r"[-—|\[\]/]", t) else 0
+
+
+def observe(seg: pd.DataFrame, title: str | None, body: str | None) -> pd.DataFrame:
+    """Lines (ord, n, texto, pagina + features) of a segment's text blocks in reading order."""
+    rows = []
+    pages = seg.pagina.ffill().bfill().to_numpy()
+    texts, ords = seg.texto.to_numpy(), seg.ord.to_numpy()
+    change = np.flatnonzero(np.concatenate([[True], pages[1:] != pages[:-1]])) if len(pages) else np.zeros(0, int)
+    first = np.repeat(change, np.diff(np.append(change, len(pages))))
+    last = np.repeat(np.append(change[1:], len(pages)) - 1, np.diff(np.append(change, len(pages))))
+    ended = True
+    for k, t in enumerate(texts):
+        off = min(k - first[k], last[k] - k)
+        number = page_number(t, pages[k])
+        for n, line in enumerate(t.split("\n")):
+            s = line.strip()
+            if not s:
+                continue
+            like = running_likeness(s, title, body) if n == 0 or off <= 2 else 0
+            num = number if n == 0 else 0
+            if _HEADING.match(s) or _BULLET.match(line):
+                opening = 2
+            elif ended and (s[0].isupper() or s[0].isdigit() or not s[0].isalnum()):
+                opening = 1
+            else:
+                opening = 0
+            rows.append((ords[k], n, line, like, num, 1 if off == 0 else 2 if off == 1 else 0, opening))
+            if like < 2 and num == 0:
+                ended = s.endswith((".", "!", "?", ":")) or opening == 2 and not s.endswith(tuple(HYPHENS)) and bool(_HEADING.match(s))
+    return pd.DataFrame(rows, columns=["ord", "n", "texto", *FEATURES])
+
+
+def log_tables(model: dict) -> tuple[list[np.ndarray], np.ndarray]:
+    return [np.log(np.asarray(model[f])) for f in FEATURES], np.log(np.asarray(model["moves"]))
+
+
+def log_emissions(obs: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+    return sum(t[:, obs[:, k]].T for k, t in enumerate(tables))
+
+
+def viterbi(obs: np.ndarray, model: dict) -> np.ndarray:
+    """The most probable states of a sequence of feature rows."""
+    if not len(obs):
+        return np.zeros(0, int)
+    tables, moves = log_tables(model)
+    e = log_emissions(obs, tables)
+    back = np.zeros(e.shape, int)
+    score = e[0] + np.log(1 / len(moves))
+    for i in range(1, len(e)):
+        to = score[:, None] + moves
+        back[i] = to.argmax(0)
+        score = to.max(0) + e[i]
+    path = [int(score.argmax())]
+    for i in range(len(e) - 1, 0, -1):
+        path.append(int(back[i, path[-1]]))
+    return np.array(path[::-1])
+
+
+def refine(sequences: list[np.ndarray], rounds: int = 3, prior: float = 200.0) -> dict:
+    """Baum-Welch from the starting tables, which weigh as `prior` observations of each state."""
+    model = {f: np.asarray(START[f]) for f in FEATURES} | {"moves": np.asarray(MOVES)}
+    for _ in range(rounds):
+        counts = {f: prior * np.asarray(START[f]) for f in FEATURES}
+        moves = prior * np.asarray(MOVES)
+        for obs in sequences:
+            if len(obs) < 2:
+                continue
+            tables, lm = log_tables(model)
+            e = log_emissions(obs, tables)
+            e = np.exp(e - e.max(1, keepdims=True))
+            m = np.exp(lm)
+            a, b = np.zeros_like(e), np.ones_like(e)
+            a[0] = e[0] / e[0].sum()
+            for i in range(1, len(e)):
+                a[i] = (a[i - 1] @ m) * e[i]
+                a[i] /= a[i].sum()
+            for i in range(len(e) - 2, -1, -1):
+                b[i] = m @ (b[i + 1] * e[i + 1])
+                b[i] /= b[i].sum()
+            g = a * b
+            g /= g.sum(1, keepdims=True)
+            x = a[:-1, :, None] * m * (e[1:] * b[1:])[:, None, :]
+            moves += (x / x.sum((1, 2), keepdims=True)).sum(0)
+            for k, f in enumerate(FEATURES):
+                for v in range(counts[f].shape[1]):
+                    counts[f][:, v] += g[obs[:, k] == v].sum(0)
+        model = {f: c / c.sum(1, keepdims=True) for f, c in counts.items()} | {"moves": moves / moves.sum(1, keepdims=True)}
+    return {k: np.maximum(v, 1e-6).tolist() for k, v in model.items()}
+
+
+def segments(bloco: DataFrame, fonte: DataFrame) -> DataFrame:
+    """Text blocks with the segments they belong to or border on, and what their source prints."""
+    names = fonte.where("id is not null").groupBy(F.col("id").alias("fonte_id")).agg(F.max("titulo").alias("titulo"), F.max("orgao").alias("orgao"))
+    rows = bloco.where("fonte_id is not null and ord is not null and tipo = 'texto' and trim(coalesce(texto, '')) <> ''")
+    rows = rows.select("fonte_id", "ord", "pagina", "texto").join(names, "fonte_id", "left")
+    low, high = F.floor((F.col("ord") - HALO) / SEGMENT), F.floor((F.col("ord") + HALO) / SEGMENT)
+    return rows.withColumn("seg", F.explode(F.sequence(F.greatest(low, F.lit(0)), F.greatest(high, F.lit(0)))))
+
+
+def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pdf.sort_values(["ord", "texto"]).drop_duplicates("ord").reset_index(drop=True)
+
+
+def fitted_model(parts: DataFrame) -> dict:
+    """The model refined on at most SAMPLE segments, chosen by hash."""
+    keys = parts.select("fonte_id", "seg").distinct().orderBy(F.xxhash64("fonte_id", "seg")).limit(SAMPLE)
+    chosen = parts.join(F.broadcast(keys), ["fonte_id", "seg"])
+
+    def features(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = _ordered(pdf)
+        lines = observe(pdf, pdf.titulo.iloc[0], pdf.orgao.iloc[0])
+        return pd.DataFrame({"obs": [lines[FEATURES].to_numpy("i1").tobytes()]})
+
+    got = chosen.groupBy("fonte_id", "seg").applyInPandas(features, "obs binary").collect()
+    return refine([np.frombuffer(r[0], "i1").reshape(-1, len(FEATURES)).astype(int) for r in got])
+
+
+def labelled_lines(bloco: DataFrame, fonte: DataFrame) -> DataFrame:
+    """(fonte_id, seg, ord, n, texto, estado, junta, segue): every line with its label.
+
+    junta: the last piece of a body line and the first of the body line after it, as (left, mark, right),
+    if both are letters; segue: the line opens with the rest of a word that the line before may have begun.
+    """
+    parts = segments(bloco, fonte)
+    held = bloco.sparkSession.sparkContext.broadcast(fitted_model(parts))
+    left = re.compile(rf"([^\W\d_]+(?:[-‐][^\W\d_]+)*)([{HYPHENS}]?)\s*\Z")
+    right = re.compile(rf"\s*([^\W\d_]+(?:-[^\W\d_]+)*)")
+
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        source, seg = pdf.fonte_id.iloc[0], int(pdf.seg.iloc[0])
+        pdf = _ordered(pdf)
+        lines = observe(pdf, pdf.titulo.iloc[0], pdf.orgao.iloc[0])
+        states = viterbi(lines[FEATURES].to_numpy(int), held.value)
+        text = lines.texto.to_numpy()
+        body = np.flatnonzero(states >= 2)
+        joints: list[tuple | None] = [None] * len(lines)
+        follows = [False] * len(lines)
+        for i, j in zip(body, body[1:]):
+            a, b = left.search(text[i]), right.match(text[j])
+            if a and b and (a[2] or b[1][0].islower()):
+                joints[i] = (a[1], a[2], b[1])
+                follows[j] = bool(a[2])
+        out = pd.DataFrame(
+            {
+                "fonte_id": source,
+                "seg": seg,
+                "ord": lines.ord,
+                "n": lines.n,
+                "texto": text,
+                "estado": [STATES[s] for s in states],
+                "esquerda": [x and x[0] for x in joints],
+                "marca": [x and x[1] for x in joints],
+                "direita": [x and x[2] for x in joints],
+                "segue": follows,
+            }
+        )
+        return out[(lines.ord // SEGMENT).clip(lower=0) == seg]
+
+    schema = "fonte_id string, seg long, ord long, n int, texto string, estado string, esquerda string, marca string, direita string, segue boolean"
+    return written(parts.groupBy("fonte_id", "seg").applyInPandas(label, schema), "lines")
+
+
+def tokens(text: Column) -> Column:
+    """Runs without white space, stripped of punctuation at the ends, in lower case."""
+    bare = lambda t: F.regexp_replace(F.lower(t), r"\A[^\p{L}\p{N}@□\x{fffd}·]+|[^\p{L}\p{N}@□\x{fffd}·]+\z", "")
+    return F.filter(F.transform(F.split(text, r"(?U)\s+"), bare), lambda t: t != "")
+
+
+def body_words(lines: DataFrame) -> DataFrame:
+    """(fonte_id, ord, t): words of the body but for those at a line end or start that may be cut."""
+    t = tokens(F.col("texto"))
+    skip = F.when(F.col("segue"), 2).otherwise(1)
+    less = F.when(F.col("marca") != "", 1).otherwise(0)
+    body = lines.where("estado in ('corpo', 'quebra')").select("fonte_id", "ord", t.alias("ts"), skip.alias("skip"), less.alias("less"))
+    return body.select("fonte_id", "ord", F.explode(F.slice("ts", F.col("skip"), F.greatest(F.size("ts") - F.col("skip") + 1 - F.col("less"), F.lit(0)))).alias("t"))
+
+
+# Characters and the strokes they share with what scanning takes them for.
+_ACCENTS = "áàâãäåéèêëíìîïóòôõöúùûüñý", "aaaaaaeeeeiiiiooooouuuuny"
+_SAME = "çęe1i!0569@t", "ccclllosbgaf"
+_STROKES = [("ﬁ", "fl"), ("ﬂ", "fl"), ("w", "vv"), ("m", "rrl"), ("n", "rl"), ("u", "ll"), ("h", "ll"), ("d", "cl")]
+
+
+def strokes(t: Column) -> Column:
+    """One form for words that scanning confuses."""
+    flat = F.translate(t, _ACCENTS[0], _ACCENTS[1])
+    flat = F.translate(flat, _SAME[0], _SAME[1])
+    for a, b in _STROKES:
+        flat = F.replace(flat, F.lit(a), F.lit(b))
+    return flat
+
+
+def vocabulary(words: DataFrame) -> DataFrame:
+    """(t, n): how often each word stands in the body of the collection."""
+    return words.groupBy("t").agg(F.count("*").alias("n"))
+
+
+def misread_words(words: DataFrame) -> DataFrame:
+    """(t, w): words that are misread, and the word they stand for (null if a sign hides it)."""
+    s = words.withColumn("s", strokes(F.col("t")))
+    best = s.where(~F.col("t").rlike(r"[\d@□\x{fffd}·ﬁﬂ]") & (F.length("t") >= 2)).groupBy("s").agg(F.max(F.struct("n", "t")).alias("b"))
+    odd = F.col("t").rlike(r"[\d@ﬁﬂ]")
+    near = s.join(best, "s").select("t", "n", F.col("b.t").alias("w"), F.col("b.n").alias("m"), odd.alias("odd"))
+    letters_only = F.length("t") >= 5
+    enough = F.when(letters_only | F.col("odd"), F.col("m") >= RATIO * F.col("n")).otherwise(F.col("m") >= 10 * RATIO * F.col("n"))
+    near = near.where((F.col("t") != F.col("w")) & (F.length("w") >= 3) & enough)
+    # a number of a reference call glued to a word leaves that word
+    stem = F.regexp_replace("t", r"\d[\d,–-]*\z", "")
+    calls = near.where(F.col("t").rlike(r"\p{L}\d[\d,–-]*\z")).withColumn("stem", stem)
+    calls = calls.join(words.select(F.col("t").alias("stem"), F.col("n").alias("k")), "stem").where(F.col("k") * RATIO >= F.col("m")).select("t")
+    near = near.join(calls, "t", "left_anti").select("t", "w")
+    hidden = words.where(F.col("t").rlike(r"\p{L}.*[□\x{fffd}·]|[□\x{fffd}·].*\p{L}") & (F.length("t") >= 3)).select("t", F.lit(None).cast("string").alias("w"))
+    signs = words.where(F.col("t").rlike(r"\A[\p{L}@-]*@[\p{L}@-]*\z") & (F.length("t") >= 3)).join(near, "t", "left_anti")
+    signs = signs.select("t", F.regexp_replace("t", "@", "a").alias("w"))
+    return near.unionByName(hidden).unionByName(signs)
+
+
+def cut_words(lines: DataFrame, words: DataFrame) -> DataFrame:
+    """(fonte_id, ord, n, inteira): body lines that end in the first half of a word, and the whole word.
+
+    A mark at the line end cuts a word unless the collection rather has the word with a hyphen; without
+    a mark, the two halves must make a word far more frequent than either alone.
+    """
+    a, b = F.lower("esquerda"), F.lower("direita")
+    last = F.regexp_extract(a, r"([^-‐]+)\z", 1)
+    first = F.regexp_extract(b, r"\A([^-‐]+)", 1)
+    rows = lines.where("esquerda is not null and estado in ('corpo', 'quebra')").select(
+        "fonte_id", "ord", "n", "marca", a.alias("a"), b.alias("b"), F.concat(a, b).alias("ab"), F.concat(a, F.lit("-"), b).alias("ahb"), last.alias("la"), first.alias("fb")
+    )
+    asked = rows.select(F.explode(F.array("ab", "ahb", "a", "b")).alias("t")).distinct()
+    known = written(asked.join(words, "t"), "joints")
+    look = lambda df, c: df.join(known.select(F.col("t").alias(c), F.col("n").alias(f"n_{c}")), c, "left")
+    for c in ("ab", "ahb", "a", "b"):
+        rows = look(rows, c)
+    z = lambda c: F.coalesce(F.col(f"n_{c}"), F.lit(0))
+    marked = (F.col("marca") != "") & (z("ab") >= z("ahb")) & ((z("ab") > 0) | (z("ahb") == 0) & ((z("a") == 0) | (z("b") == 0)))
+    bare = (F.col("marca") == "") & (z("ab") >= 5) & (z("a") * RATIO < z("ab")) & (z("b") * RATIO < z("ab")) & (F.length("a") >= 2) & (F.length("b") >= 2)
+    return rows.where(marked | bare).select("fonte_id", "ord", "n", F.col("ab").alias("inteira"))
+
+
+def _repairs(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(misread words by block, cut words by line)."""
+    occurrences = body_words(lines)
+    words = written(vocabulary(occurrences), "words")
+    wrong = written(misread_words(words), "misread")
+    # most words are among the frequent ones: those rows need not travel (at most 20,000 words are sent out)
+    usual = words.orderBy(F.desc("n"), "t").limit(20_000).join(wrong, "t", "left_anti").select("t")
+    rare = occurrences.join(F.broadcast(usual), "t", "left_anti").distinct()
+    return rare.join(wrong, "t").select("fonte_id", "ord", "t", "w"), cut_words(lines, words)
+
+
+def found_noise(bloco: DataFrame, fonte: DataFrame) -> DataFrame:
+    """(fonte_id, ord, ruido): running lines, page numbers, cut words and misread words by block."""
+    lines = labelled_lines(bloco, fonte)
+    wrong, cut = _repairs(lines)
+    kind = lambda df, k: df.select("fonte_id", "ord", F.lit(k).alias("ruido"))
+    furniture = lines.where("n = 0 and estado = 'cabecalho'"), lines.where("n = 0 and estado = 'pagina'")
+    out = kind(furniture[0], "cabecalho").unionByName(kind(furniture[1], "pagina"))
+    return out.unionByName(kind(cut, "hifen")).unionByName(kind(wrong, "troca")).distinct()
+
+
+def paragraphs(bloco: DataFrame, fonte: DataFrame) -> DataFrame:
+    """(fonte_id, ord, linha, ord_final, texto): paragraphs of each source's body in reading order, by the place
+    and line where they open, with cut words joined and misread words replaced."""
+    lines = labelled_lines(bloco, fonte)
+    wrong, cut = _repairs(lines)
+    fixes = wrong.where("w is not null").groupBy("fonte_id", "ord").agg(F.map_from_entries(F.collect_list(F.struct("t", "w"))).alias("trocas"))
+    body = lines.where("estado in ('corpo', 'quebra')")
+    opens = F.when(F.col("estado") == "quebra", F.struct("ord", "n"))
+    # the last opening before a segment: one row a segment goes through the window, not one a line
+    ends = body.groupBy("fonte_id", "seg").agg(F.max(opens).alias("ultima"))
+    before = Window.partitionBy("fonte_id").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("fonte_id", "seg", F.last("ultima", ignorenulls=True).over(before).alias("antes"))
+    within = Window.partitionBy("fonte_id", "seg").orderBy("ord", "n").rowsBetween(Window.unboundedPreceding, 0)
+    zero = F.struct(F.lit(-1).cast("long").alias("ord"), F.lit(0).alias("n"))
+    body = body.join(ends, ["fonte_id", "seg"]).withColumn("p", F.coalesce(F.last(opens, ignorenulls=True).over(within), "antes", zero))
+    body = body.join(cut, ["fonte_id", "ord", "n"], "left").join(fixes, ["fonte_id", "ord"], "left")
+    rows = body.groupBy("fonte_id", "p").agg(
+        F.sort_array(F.collect_list(F.struct("ord", "n", "texto", F.col("inteira").isNotNull().alias("cortada"), F.map_entries("trocas").alias("trocas")))).alias("x")
+    )
+    word = re.compile(r"\S+")
+
+    def mend(line: str, fixes: dict[str, str]) -> str:
+        def one(m: re.Match) -> str:
+            t = m[0]
+            core = t.strip(".,;:()[]\"“”?!•")
+            w = fixes.get(core.lower())
+            if not w:
+                return t
+            w = w.upper() if core.isupper() and len(core) > 1 else w.capitalize() if core[:1].isupper() else w
+            return t.replace(core, w)
+
+        return word.sub(one, line)
+
+    def put_together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for source, p, x in zip(b.fonte_id, b.p, b.x):
+                text, glue = "", ""
+                for r in x:
+                    line = re.sub(r"\s+", " ", mend(r["texto"], {e["key"]: e["value"] for e in (r["trocas"] if r["trocas"] is not None else [])})).strip()
+                    text += glue + line
+                    glue = " "
+                    if r["cortada"]:
+                        text, glue = text.rstrip(HYPHENS), ""
+                    elif text.endswith(tuple(HYPHENS)):
+                        text, glue = text[:-1] + "-", ""
+                out.append((source, p["ord"], p["n"], x[-1]["ord"], unicodedata.normalize("NFC", text)))
+            yield pd.DataFrame(out, columns=["fonte_id", "ord", "linha", "ord_final", "texto"])
+
+    return rows.mapInPandas(put_together, "fonte_id string, ord long, linha int, ord_final long, texto string")
