@@ -41,8 +41,8 @@ HYPHENS = "-‐‑­¬"
 
 # Starting tables of the model: rows are the states, columns the values of a feature.
 START = {
-    "likeness": [[0.02, 0.08, 0.90], [0.98, 0.01, 0.01], [0.985, 0.01, 0.005], [0.97, 0.02, 0.01]],
-    "number": [[0.97, 0.02, 0.01], [0.02, 0.28, 0.70], [0.985, 0.01, 0.005], [0.985, 0.01, 0.005]],
+    "likeness": [[0.0001, 0.0999, 0.90], [0.98, 0.01, 0.01], [0.985, 0.01, 0.005], [0.97, 0.02, 0.01]],
+    "number": [[0.97, 0.02, 0.01], [0.0001, 0.0999, 0.90], [0.985, 0.01, 0.005], [0.985, 0.01, 0.005]],
     "place": [[0.05, 0.85, 0.10], [0.05, 0.85, 0.10], [0.80, 0.09, 0.11], [0.80, 0.09, 0.11]],
     "opening": [[0.20, 0.60, 0.20], [0.50, 0.40, 0.10], [0.97, 0.02, 0.01], [0.02, 0.73, 0.25]],
 }
@@ -185,7 +185,7 @@ def viterbi(obs: np.ndarray, model: dict) -> np.ndarray:
     return np.array(path[::-1])
 
 
-def refine(sequences: list[np.ndarray], rounds: int = 3, prior: float = 200.0) -> dict:
+def refine(sequences: list[np.ndarray], rounds: int = 3, prior: float = 5000.0) -> dict:
     """Baum-Welch from the starting tables, which weigh as `prior` observations of each state."""
     model = {f: np.asarray(START[f]) for f in FEATURES} | {"moves": np.asarray(MOVES)}
     for _ in range(rounds):
@@ -332,7 +332,7 @@ def misread_words(words: DataFrame) -> DataFrame:
     near = s.join(best, "s").select("t", "n", F.col("b.t").alias("w"), F.col("b.n").alias("m"), odd.alias("odd"))
     letters_only = F.length("t") >= 5
     enough = F.when(letters_only | F.col("odd"), F.col("m") >= RATIO * F.col("n")).otherwise(F.col("m") >= 10 * RATIO * F.col("n"))
-    near = near.where((F.col("t") != F.col("w")) & (F.length("w") >= 3) & enough)
+    near = near.where((F.col("t") != F.col("w")) & F.col("t").rlike(r"\p{L}") & (F.length("w") >= 3) & enough)
     # a number of a reference call glued to a word leaves that word
     stem = F.regexp_replace("t", r"\d[\d,–-]*\z", "")
     calls = near.where(F.col("t").rlike(r"\p{L}\d[\d,–-]*\z")).withColumn("stem", stem)
