@@ -47,3 +47,20 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = fresh_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in the session's Python workers, once per session."""
+    import pathlib
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_folio_shipped", False):
+        return
+    root = pathlib.Path(__file__).resolve().parent
+    path = os.path.join(tempfile.mkdtemp(prefix="folio-code-"), "folio.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(path)
+    sc._folio_shipped = True
