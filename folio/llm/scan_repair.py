@@ -253,7 +253,7 @@ def labelled_lines(bloco: DataFrame, fonte: DataFrame) -> DataFrame:
     parts = segments(bloco, fonte)
     held = bloco.sparkSession.sparkContext.broadcast(fitted_model(parts))
     left = re.compile(rf"([^\W\d_]+(?:[-‐][^\W\d_]+)*)([{HYPHENS}]?)\s*\Z")
-    right = re.compile(rf"\s*([^\W\d_]+(?:-[^\W\d_]+)*)")
+    right = re.compile(r"\s*((?=[\d@□�·]*[^\W\d_])[\w@□�·]+(?:-[^\W\d_]+)*)")
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
         source, seg = pdf.fonte_id.iloc[0], int(pdf.seg.iloc[0])
@@ -264,9 +264,10 @@ def labelled_lines(bloco: DataFrame, fonte: DataFrame) -> DataFrame:
         body = np.flatnonzero(states >= 2)
         joints: list[tuple | None] = [None] * len(lines)
         follows = [False] * len(lines)
+        body = [i for i in body if not text[i].strip().isdigit()]  # a number alone continues no word
         for i, j in zip(body, body[1:]):
             a, b = left.search(text[i]), right.match(text[j])
-            if a and b and (a[2] or b[1][0].islower()):
+            if a and b and (a[2] or b[1].islower()):
                 joints[i] = (a[1], a[2], b[1])
                 follows[j] = bool(a[2])
         out = pd.DataFrame(
@@ -307,7 +308,7 @@ def body_words(lines: DataFrame) -> DataFrame:
 # Characters and the strokes they share with what scanning takes them for.
 _ACCENTS = "áàâãäåéèêëíìîïóòôõöúùûüñý", "aaaaaaeeeeiiiiooooouuuuny"
 _SAME = "çęe1i!0569@t", "ccclllosbgaf"
-_STROKES = [("ﬁ", "fl"), ("ﬂ", "fl"), ("w", "vv"), ("m", "rrl"), ("n", "rl"), ("u", "ll"), ("h", "ll"), ("d", "cl")]
+_STROKES = [("ﬁ", "fl"), ("ﬂ", "fl"), ("w", "vl"), ("m", "rrl"), ("n", "rl"), ("u", "ll"), ("h", "ll"), ("d", "cl")]
 
 
 def strokes(t: Column) -> Column:
@@ -326,13 +327,16 @@ def vocabulary(words: DataFrame) -> DataFrame:
 
 def misread_words(words: DataFrame) -> DataFrame:
     """(t, w): words that are misread, and the word they stand for (null if a sign hides it)."""
-    s = words.withColumn("s", strokes(F.col("t")))
+    # 6 stands for b as well as for ó
+    readings = F.array_distinct(F.array(strokes(F.col("t")), strokes(F.replace(F.col("t"), F.lit("6"), F.lit("o")))))
+    s = words.withColumn("s", F.explode(readings))
     best = s.where(~F.col("t").rlike(r"[\d@□\x{fffd}·ﬁﬂ]") & (F.length("t") >= 2)).groupBy("s").agg(F.max(F.struct("n", "t")).alias("b"))
     odd = F.col("t").rlike(r"[\d@ﬁﬂ]")
     near = s.join(best, "s").select("t", "n", F.col("b.t").alias("w"), F.col("b.n").alias("m"), odd.alias("odd"))
     letters_only = F.length("t") >= 5
     enough = F.when(letters_only | F.col("odd"), F.col("m") >= RATIO * F.col("n")).otherwise(F.col("m") >= 10 * RATIO * F.col("n"))
     near = near.where((F.col("t") != F.col("w")) & F.col("t").rlike(r"\p{L}") & (F.length("w") >= 3) & enough)
+    near = near.groupBy("t", "n", "odd").agg(F.max(F.struct("m", "w")).alias("b")).select("t", "n", "odd", "b.m", "b.w")
     # a number of a reference call glued to a word leaves that word
     stem = F.regexp_replace("t", r"\d[\d,–-]*\z", "")
     calls = near.where(F.col("t").rlike(r"\p{L}\d[\d,–-]*\z")).withColumn("stem", stem)
