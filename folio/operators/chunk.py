@@ -126,7 +126,7 @@ class Fold:
         self.names += 1
         self.section()
         self.part = "" if self.names >= PARTS_ON_PAGE else name
-        self.suspended, self.row_of_titles, self.index, self.opened = False, 0, False, self.opened
+        self.suspended, self.row_of_titles, self.index = False, 0, False
 
     def in_book(self, i: int, e) -> None:
         if e.sub is not None:
