@@ -10,6 +10,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folio.config import CASE_MARK, CASED_MOST, FUNCTION_WORDS, GLUED_MOST
 
@@ -71,17 +72,17 @@ def is_function_word(token: str) -> bool:
     return (fold_text(token.removesuffix(CASE_MARK)) if token.endswith(CASE_MARK) else token) in _STOP
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold(text: pd.Series) -> pd.Series:
     return text.map(fold_text, na_action="ignore")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def tokens(text: pd.Series) -> pd.Series:
     return text.map(tokenize)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def query_tokens(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [x for x in tokenize(t) if not is_function_word(x)])
 
