@@ -1,8 +1,8 @@
 """Inverted index, its statistics and BM25 with statistics that no filter changes.
 
 All functions take postings (term, doc_ord, tf). A batch of queries is (q, pos, term), one row per
-query token, so that a repeated token counts again. Sums are taken in query-token order, so that
-equal pieces tie exactly.
+query token, so that a repeated token counts again. Shares are summed as whole multiples of 1e-12:
+such a sum is the same in any order, so equal pieces tie exactly and sums combine before the shuffle.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 from folio.config import B, DEPTH, K1
 from folio.functions.tokens import tokens
 
+FIXED = 1e12
+BROADCAST_ROWS = 200_000  # query terms up to which the query side is broadcast
 VALID = "term is not null and term <> '' and doc_ord is not null and tf > 0"
 
 
@@ -57,23 +59,19 @@ def bm25_scores(postings: DataFrame, queries: DataFrame, k1: float = K1, b: floa
     """
     lengths = doc_lengths(postings)
     stats = corpus_stats(lengths)
-    # only the terms asked for: the query side is distinct terms, df comes from all postings
-    asked = queries.select("term").distinct()
-    held = postings.join(asked, "term")
-    weights = idf(held.groupBy("term").agg(F.count("*").alias("df")), stats)
+    asked = queries.groupBy("q", "term").agg(F.count("*").alias("times"))
+    if asked.count() <= BROADCAST_ROWS:  # then no posting is shuffled by term
+        asked = F.broadcast(asked)
+    # only the terms asked for: df still comes from all postings
+    weights = idf(postings.groupBy("term").agg(F.count("*").alias("df")), stats).join(queries.select("term").distinct(), "term", "left_semi")
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     parts = (
-        held.join(weights.select("term", "idf"), "term")
+        postings.join(weights.select("term", "idf"), "term")
         .join(lengths, "doc_ord")
         .join(F.broadcast(stats.select("avgdl")))
-        .withColumn("part", F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))))
-        .select("term", "doc_ord", "part")
-    )
-    scored = (
-        queries.join(parts, "term")
-        .groupBy("q", "doc_ord")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "part"))).alias("x"))
-        .select("q", "doc_ord", F.aggregate("x", F.lit(0.0), lambda s, x: s + x["part"]).alias("score"))
+        .select("term", "doc_ord", F.round(part * FIXED).cast("long").alias("part"))
     )
+    scored = parts.join(asked, "term").groupBy("q", "doc_ord").agg((F.sum(F.col("part") * F.col("times")) / FIXED).alias("score"))
     return scored if mask is None else scored.join(mask.select("doc_ord").distinct(), "doc_ord", "left_semi")
 
 

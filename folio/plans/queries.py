@@ -72,13 +72,14 @@ _STATS = """dl as (select doc_ord, sum(tf)::double as dl from c group by doc_ord
   df as (select term, count(*)::double as df from c group by term),
   pt as (select c.term, c.doc_ord, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) as part
     from c join df using (term) join dl using (doc_ord), st)"""
-_SCORES = f"{_C}, {_Q}, {_STATS}, s as (select q, doc_ord, sum(part order by pos) as score from q join pt using (term) group by q, doc_ord)"
+_SCORES = f"{_C}, {_Q}, {_STATS}, s as (select q, doc_ord, sum(round(part * 1e12)::bigint)::double / 1e12 as score from q join pt using (term) group by q, doc_ord)"
 
 
 def _strip(x: str) -> str:
     return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
 
 
+_FROM, _TO = "'µμ²³¹ºª\u00a0\u3000\u2007\u2009\u202f'", "'uu231oa     '"
 _SQUEEZED = r"regexp_replace(replace(regexp_replace(x, '[\x{E000}-\x{F8FF}]', '-', 'g'), chr(160), ' '), '[ \t]+', ' ', 'g')"
 _PLAIN_SPACES = r"regexp_replace(coalesce(texto, ''), '[\x{00A0}\x{3000}\x{2007}\x{2009}\x{202F}]', ' ', 'g')"
 
@@ -100,7 +101,7 @@ def clean_text(spark, d):
     return table(spark, d, "bloco").select("fonte_id", "ord", tx.clean(F.col("texto")).alias("texto")).distinct()
 
 
-@query("select doc_id, replace(lower(strip_accents(translate(text, 'µμ²³¹ºª', 'uu231oa'))), 'ß', 'ss') as dobrado from documents where text is not null")
+@query(f"select doc_id, replace(lower(strip_accents(translate(text, {_FROM}, {_TO}))), 'ß', 'ss') as dobrado from documents where text is not null")
 def fold_text(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", tk.fold(F.col("text")).alias("dobrado"))
 
@@ -164,7 +165,7 @@ def arm_texts(spark, d):
 
 # --- tokens and the inverted index ------------------------------------------------------------------------------
 
-_FOLDED = "replace(lower(strip_accents(translate(text, 'µμ²³¹ºª', 'uu231oa'))), 'ß', 'ss')"
+_FOLDED = f"replace(lower(strip_accents(translate(text, {_FROM}, {_TO}))), 'ß', 'ss')"
 _TOKENS = f"regexp_extract_all({_FOLDED}, '[0-9a-z]+(?:[./,\\-][0-9a-z]+)*')"
 
 
@@ -263,7 +264,7 @@ def bm25_masked(spark, d):
     return got.withColumn("score", F.round("score", 6))
 
 
-@query(f"with {_SCORES.replace('sum(part order by pos)', '2 * sum(part order by pos)')} select q, doc_ord, round(score, 6) as score from s")
+@query(f"with {_SCORES.replace('sum(round(', '2 * sum(round(')} select q, doc_ord, round(score, 6) as score from s")
 def bm25_repeated_term(spark, d):
     """Every query token twice: a repeated token counts again."""
     twice = piece_queries(spark, d).withColumn("pos", F.explode(F.array(2 * F.col("pos"), 2 * F.col("pos") + 1)))
