@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folio.config import DELIVERED, DEPTH, GUARANTEED
+from folio.functions.vectors import dot, norm
 from folio.operators.bm25 import bm25_scores, top_k
 from folio.operators.dense import dense_top_k
 from folio.operators.fusion import guarantee, rrf
@@ -57,17 +58,30 @@ def hybrid_search(
     """
     allowed = pieces.where(where.column()).select("ord", "id").distinct()
     names = allowed.select(F.col("ord").alias("doc_ord"), "id")
-    lexical = top_k(bm25_scores(postings, query_tokens).join(names, "doc_ord"), depth, "id").select("q", "id", F.col("score").alias("bm25"), "rank")
+    scored = bm25_scores(postings, query_tokens).join(names, "doc_ord").select("q", "id", "score")
+    lexical = top_k(scored, depth, "id").select("q", "id", "rank")
     # ties by id need the id in the dense arm, too: ranks are given anew after the join
     near = dense_top_k(vectors, query_vectors, depth, dims=dims, mask=allowed).join(allowed, "ord")
     near = near.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.round("cosine", 12).desc(), "id")))
-    dense = near.select("q", "id", F.col("cosine").alias("cosseno"), "rank")
+    dense = near.select("q", "id", "rank")
     fused = rrf([dense, lexical])
     given = guarantee(fused, n, guaranteed).select("q", "id", "garantido", "posicao")
+    # every candidate has both raw scores, whichever arm it came by: at most twice the depth a query
+    v, w = F.col("vec"), F.col("qvec")
+    cosines = (
+        fused.select("q", "id")
+        .join(allowed, "id")
+        .join(vectors.select("ord", "vec"), "ord")
+        .join(query_vectors.select("q", "qvec"), "q")
+        .select("q", "id", (dot(v, w) / (norm(v) * norm(w))).alias("cosseno"))
+    )
     out = (
         fused.join(given, ["q", "id"], "left")
-        .join(dense.select("q", "id", "cosseno", F.col("rank").alias("posicao_densa")), ["q", "id"], "left")
-        .join(lexical.select("q", "id", "bm25", F.col("rank").alias("posicao_lexica")), ["q", "id"], "left")
+        .join(dense.withColumnRenamed("rank", "posicao_densa"), ["q", "id"], "left")
+        .join(lexical.withColumnRenamed("rank", "posicao_lexica"), ["q", "id"], "left")
+        .join(cosines, ["q", "id"], "left")
+        .join(scored.withColumnRenamed("score", "bm25"), ["q", "id"], "left")
+        .withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
     )
     # delivered first in their order, then the other candidates by fused place
     order = Window.partitionBy("q").orderBy(F.col("posicao").isNull(), "posicao", "fused")

@@ -81,7 +81,6 @@ def test_tokenize(text, want):
 
 
 def test_query_tokens_drop_function_words(spark):
-    assert one(spark, "A dose de vitamina A não é para o DT", tk.query_tokens) == ["dose", "vitamina", "e", "dt", "DT|C"] or True
     got = one(spark, "Qual a dose em que Não se usa", tk.query_tokens)
     assert got == ["dose", "usa"]
 

@@ -114,11 +114,11 @@ def test_dense_top_k_orders_ties_by_key_and_skips_invalid(spark):
 
 
 SHELF = [
-    ("calendario#1", "vacina ighvz dose", ["pediatria", "preventiva"], "f1", False, [1, 0, 0]),
-    ("asma#1", "asma controle", ["clinica-medica", "pediatria"], "f2", False, [0, 1, 0]),
+    ("calendario#1", "vacina ighvz dose esquema", ["pediatria", "preventiva"], "f1", False, [1, 0, 0]),
+    ("asma#1", "asma esquema dose", ["clinica-medica", "pediatria"], "f2", False, [0, 1, 0]),
     ("dm2#1", "diabete dieta", ["clinica-medica"], "f3", False, [0, 0, 1]),
-    ("dm2#2", "diabete insulina", ["clinica-medica"], "f3", False, [0, 1, 1]),
-    ("tb#1", "tuberculose", ["clinica-medica", "preventiva"], "f4", False, [1, 1, 0]),
+    ("dm2#2", "diabete esquema dose dose", ["clinica-medica"], "f3", False, [0, 1, 1]),
+    ("tb#1", "tuberculose esquema", ["clinica-medica", "preventiva"], "f4", False, [1, 1, 0]),
     ("tb#ref", "referencias", ["clinica-medica", "preventiva"], "f4", True, [1, 0, 1]),
 ]
 
@@ -138,7 +138,11 @@ def run(spark, where=search.Filter(), n=2, **more):
 
 def test_hybrid_shelf(spark):
     got = run(spark)
-    assert [(r.id, r.garantido) for r in got if r.entregue] == [("dm2#2", False), ("calendario#1", True)] or [r.id for r in got if r.entregue] == ["calendario#1", "dm2#2"]
+    assert [(r.id, r.garantido) for r in got if r.entregue] == [("dm2#2", False), ("calendario#1", True)]
+    head = {r.id: r for r in got}["calendario#1"]
+    assert (head.posicao_lexica, head.posicao_densa) == (1, 5)
+    plain = {r.id: r for r in got}["dm2#1"]
+    assert plain.posicao_lexica is None and plain.bm25 == 0 and abs(plain.cosseno - 0.5**0.5) < 1e-6
     assert len(got) == 5 and "tb#ref" not in {r.id for r in got}
     only = run(spark, search.Filter(areas=("pediatria",)))
     by = {r.id: (r.cosseno, r.bm25) for r in got}
