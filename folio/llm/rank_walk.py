@@ -29,6 +29,7 @@ from pyspark.sql.window import Window
 from folio.session import written
 
 SMALL = 20_000  # items of a group that one task may hold
+MOST_PARTS = 1024  # blocks that a larger group is cut into, at most
 DAMPING = 0.85
 ROUNDS = 60
 LOWEST = float("-inf")
@@ -93,7 +94,7 @@ def _sizes(clean: DataFrame, small: int) -> DataFrame:
     return clean.groupBy("g").agg(F.count("*").alias("size")).where(F.col("size") > small)
 
 
-def _small_groups(clean: DataFrame, k: int, needed: int) -> DataFrame:
+def _small_groups(clean: DataFrame, k: int, needed: int, rounds: int) -> DataFrame:
     names = [f"s{j}" for j in range(k)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,7 +103,7 @@ def _small_groups(clean: DataFrame, k: int, needed: int) -> DataFrame:
             for g, items, *cols in zip(b.g, b["i"], *(b[c] for c in names)):
                 v = np.stack([np.asarray(c, "f8") for c in cols], 1)
                 ids = np.asarray(items, dtype=object)
-                mass = walk(v)
+                mass = walk(v, rounds=rounds)
                 order = np.lexsort((ids.astype(str), -np.round(mass, 12)))
                 place = np.empty(len(order), "i8")
                 place[order] = np.arange(1, len(order) + 1)
@@ -116,11 +117,9 @@ def _small_groups(clean: DataFrame, k: int, needed: int) -> DataFrame:
     return lists.mapInPandas(run, f"g {kinds['g']}, i {kinds['i']}, mass double, place long, champion boolean")
 
 
-def _blocks(rows: DataFrame, keys: list[str], value: str, block: int) -> DataFrame:
-    """rows with `block`: consecutive ranges of value within keys, of about `block` distinct values each."""
-    cuts = rows.groupBy(*keys).agg(
-        F.percentile_approx(value, F.transform(F.sequence(F.lit(1), F.lit(63)), lambda x: x / F.lit(64.0)), 1000).alias("cuts")
-    )
+def _blocks(rows: DataFrame, keys: list[str], value: str, parts: int) -> DataFrame:
+    """rows with `block`: at most `parts` consecutive ranges of value within keys, of about as many rows each."""
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 20 * parts).alias("cuts"))
     return rows.join(F.broadcast(cuts), keys).withColumn("block", F.size(F.filter("cuts", lambda c: c < F.col(value)))).drop("cuts")
 
 
@@ -131,13 +130,13 @@ def _prefix(rows: DataFrame, what: str, alias: str, block_keys: list[str], keys:
     offsets = rows.groupBy(*block_keys).agg(F.sum(what).alias("_t")).withColumn("_o", F.coalesce(F.sum("_t").over(over), F.lit(0.0))).drop("_t")
     return (
         rows.withColumn("_w", F.coalesce(F.sum(what).over(within), F.lit(0.0)))
-        .join(F.broadcast(offsets), block_keys)  # 64 blocks a score of a large group
+        .join(F.broadcast(offsets), block_keys)  # at most MOST_PARTS a score of a large group
         .withColumn(alias, F.col("_w") + F.col("_o"))
         .drop("_w", "_o")
     )
 
 
-def _large_groups(clean: DataFrame, sizes: DataFrame, k: int, needed: int, rounds: int, block: int) -> DataFrame:
+def _large_groups(clean: DataFrame, sizes: DataFrame, k: int, needed: int, rounds: int, block: int, parts: int) -> DataFrame:
     """The same walk for groups that no task may hold: masses by distinct value, prefix sums by block."""
     names = [f"s{j}" for j in range(k)]
     items = written(clean.join(F.broadcast(sizes), "g"), "walk-items")
@@ -145,7 +144,7 @@ def _large_groups(clean: DataFrame, sizes: DataFrame, k: int, needed: int, round
         DataFrame.unionByName, [df.select("g", F.lit(j).alias("j"), F.col(f"s{j}").alias("v"), *more) for j in range(k)]
     )
     # distinct values with how many items are strictly higher
-    values = _blocks(long(items, "size").groupBy("g", "j", "v", "size").agg(F.count("*").cast("double").alias("cnt")), ["g", "j"], "v", block)
+    values = _blocks(long(items, "size").groupBy("g", "j", "v", "size").agg(F.count("*").cast("double").alias("cnt")), ["g", "j"], "v", parts)
     values = _prefix(values, "cnt", "lower", ["g", "j", "block"], ["g", "j"], "v")
     values = written(values.withColumn("higher", F.col("size") - F.col("lower") - F.col("cnt")).select("g", "j", "v", "block", "higher"), "walk-values")
     mass = items.withColumn("mass", 1 / F.col("size"))
@@ -160,7 +159,7 @@ def _large_groups(clean: DataFrame, sizes: DataFrame, k: int, needed: int, round
         arrived = sum(F.col(f"f{j}") + F.when(F.col(f"h{j}") > 0, 0.0).otherwise(F.col("mass")) for j in range(k))
         mass = written(new.select("g", "i", *names, "size", ((1 - DAMPING) / F.col("size") + DAMPING * arrived / k).alias("mass")), f"walk-{r}")
     # place: order by mass (ties by id) without a window over the group
-    ranked = _blocks(mass.withColumn("neg", -F.round("mass", 12)), ["g"], "neg", block)
+    ranked = _blocks(mass.withColumn("neg", -F.round("mass", 12)), ["g"], "neg", parts)
     ends = ranked.groupBy("g", "block").agg(F.count("*").alias("c"))
     ends = ends.withColumn("o", F.coalesce(F.sum("c").over(Window.partitionBy("g").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     ranked = ranked.join(F.broadcast(ends.select("g", "block", "o")), ["g", "block"]).withColumn(
@@ -203,12 +202,13 @@ def rank_walk(
     needed = needed or k // 2 + 1
     clean = _clean(df, group, item, scores)
     sizes = _sizes(clean, small)
-    large = sizes.count()  # decides only how a group is worked off
+    large, most = sizes.agg(F.count("*"), F.max("size")).first()  # decide only how a group is worked off
     if large:
+        parts = max(2, min(MOST_PARTS, -(-most // block)))
         few = clean.join(F.broadcast(sizes), "g", "left_anti")
-        out = _small_groups(few, k, needed).unionByName(_large_groups(clean, sizes, k, needed, rounds, block))
+        out = _small_groups(few, k, needed, rounds).unionByName(_large_groups(clean, sizes, k, needed, rounds, block, parts))
     else:
-        out = _small_groups(clean, k, needed)
+        out = _small_groups(clean, k, needed, rounds)
     return out.withColumnsRenamed({"g": group, "i": item})
 
 
