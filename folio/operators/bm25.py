@@ -71,6 +71,8 @@ def bm25_scores(postings: DataFrame, queries: DataFrame, k1: float = K1, b: floa
         .join(F.broadcast(stats.select("avgdl")))
         .select("term", "doc_ord", F.round(part * FIXED).cast("long").alias("part"))
     )
+    # by piece before queries multiply the rows: the sums per query and piece then need no further shuffle
+    parts = parts.repartition(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_ord")
     scored = parts.join(asked, "term").groupBy("q", "doc_ord").agg((F.sum(F.col("part") * F.col("times")) / FIXED).alias("score"))
     return scored if mask is None else scored.join(mask.select("doc_ord").distinct(), "doc_ord", "left_semi")
 
