@@ -134,9 +134,10 @@ def lookalike_pairs(df: DataFrame, key: str, text: str, parts: int = 8) -> DataF
     A class with a single spelling drops out before any pair is made; the pairs of a class are made
     in parts x parts blocks, so that no task gets a whole class.
     """
-    rows = form_classes(df, key, text)
-    several = rows.groupBy("classe").agg(F.min("grafia").alias("a"), F.max("grafia").alias("b")).where("a <> b").select("classe")
-    rows = rows.join(several, "classe").withColumn("parte", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+    rows = form_classes(df, key, text).withColumn("parte", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+    several = rows.groupBy("classe").agg(F.min("grafia").alias("a"), F.max("grafia").alias("b")).where("a <> b")
+    several = several.select("classe", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("parte"))
+    rows = rows.join(several, ["classe", "parte"])
     every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     a = rows.select("classe", F.col("grafia").alias("ga"), F.col(key).alias("ka"), F.col("parte").alias("pa"), every.alias("pb"))
     b = rows.select("classe", F.col("grafia").alias("gb"), F.col(key).alias("kb"), F.col("parte").alias("pb"), every.alias("pa"))
