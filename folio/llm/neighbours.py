@@ -167,10 +167,14 @@ def search(reps: DataFrame, dims: int, k: int, probes: int, subspaces: int = 8)
 def nearest_neighbours(df: DataFrame, key: str, vec: str, dims: int = 64, k: int = 5, probes: int = 16) -> DataFrame:
     """(key, vizinho, cosseno, posicao): the k most similar vectors of every valid vector."""
     rows = valid_vectors(df, key, vec, dims)
-    digest = F.xxhash64("vec")
-    rows = written(rows.select("key", "vec", digest.alias("h")), "vectors")
-    classes = rows.groupBy("h", "vec").agg(F.min("key").alias("rep"))
-    members = rows.join(classes.select("h", "vec", "rep"), ["h", "vec"]).select("rep", "key")
+    # classes of equal vectors by 128 bits of hash, so that the vectors themselves are shuffled once
+    h = [F.xxhash64("vec").alias("h0"), F.xxhash64(F.lit(1), "vec").alias("h1")]
+    rows = written(rows.select("key", "vec", *h), "vectors")
+    classes = rows.groupBy("h0", "h1").agg(F.min("key").alias("rep"), F.min_by("vec", "key").alias("vec"))
+    salts = 8  # a class may hold a third of all rows
+    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
+    mine = F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int").alias("salt")
+    members = rows.select("key", "h0", "h1", mine).join(classes.select("h0", "h1", "rep", every), ["h0", "h1", "salt"]).select("rep", "key")
     members = written(members, "members")
     near = search(classes.select(F.col("rep").alias("key"), "vec"), dims, k + 1, probes)
     # the first members of a class stand for it: more than k + 1 are never needed
@@ -180,9 +184,7 @@ def nearest_neighbours(df: DataFrame, key: str, vec: str, dims: int = 64, k: int
     order = Window.partitionBy("rep").orderBy(F.round("cos", 12).desc(), "vizinho")
     short = others.unionByName(own).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
     short = short.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "vizinho", "cos"))).alias("x"))
-    salts = 8  # a class may hold a third of all rows
-    spread = short.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    got = members.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")).join(spread, ["rep", "salt"])
+    got = members.select("rep", "key", mine).join(short.select("rep", "x", every), ["rep", "salt"])
     got = got.select("key", F.posexplode(F.slice(F.filter("x", lambda e: e["vizinho"] != F.col("key")), 1, k)).alias("p", "e"))
     return got.select(
         F.col("key").alias(key), F.col("e.vizinho").alias("vizinho"), F.col("e.cos").alias("cosseno"), (F.col("p") + 1).alias("posicao")
