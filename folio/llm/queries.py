@@ -106,7 +106,8 @@ v as (select ord, max(vec)::double[] as vec from matriz
 p as (select a.ord, b.ord as vizinho, list_cosine_similarity(a.vec, b.vec) as cosseno from v a, v b where a.ord <> b.ord),
 r as (select *, row_number() over (partition by ord order by round(cosseno, 12) desc, vizinho) as posicao from p)
 """
-_LOW = "case when {0} is null or isnan({0}) then '-infinity'::double else {0} end as {0}"
+# the text of NaN, because isnan() misses NaN in files whose column statistics leave NaN out
+_LOW = "case when {0} is null or {0}::varchar = 'nan' then '-infinity'::double else {0} end as {0}"
 # two-character columns keep the lists of characters readable in pairs
 _FULL = "".join(map(chr, range(0xFF01, 0xFF5F)))
 _PLAIN = "".join(map(chr, range(0x21, 0x7F)))
