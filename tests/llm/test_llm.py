@@ -92,6 +92,23 @@ def test_neighbours_recall_and_ties(spark):
     assert all(got[i] == true[i] for i in range(600, 900))  # equal vectors: the smallest keys
 
 
+@pytest.mark.parametrize("noise", [0, 1e-3, 1e-2])
+def test_neighbours_in_a_hot_direction(spark, noise):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6000, 64)).astype("f4")
+    hot = rng.permutation(6000)[:3000]
+    x[hot] = (x[0] + noise * rng.normal(size=(3000, 64))) * rng.uniform(0.01, 100, (3000, 1))  # one direction, many lengths
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "ord long, vec array<float>")
+    got = defaultdict(list)
+    for r in neighbours.nearest_neighbours(df, "ord", "vec").orderBy("ord", "posicao").collect():
+        got[r.ord].append(r.vizinho)
+    u = x.astype("f8") / np.linalg.norm(x.astype("f8"), axis=1, keepdims=True)
+    cos = np.round(u @ u.T, 12)
+    np.fill_diagonal(cos, -2)
+    hits = sum(len({*got[i]} & {*np.lexsort((np.arange(6000), -cos[i]))[:5].tolist()}) for i in hot) / 15000
+    assert hits == 1
+
+
 @pytest.mark.parametrize("n", [0, 1, 2])
 def test_neighbours_of_few(spark, n):
     df = spark.createDataFrame([(i, [1.0] * 63 + [float(i)]) for i in range(n)], "ord long, vec array<float>")
