@@ -31,7 +31,7 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = DEPTH, key: str
     its own k best per query, so that what is shuffled is k rows a task and query, not all pairs.
     """
     spark = vectors.sparkSession
-    rows = vectors.where(is_valid(F.col(vec), dims)).select(F.col(key).alias("key"), F.col(vec).alias("vec"))
+    rows = vectors.where(F.col(key).isNotNull() & is_valid(F.col(vec), dims)).select(F.col(key).alias("key"), F.col(vec).alias("vec"))
     if mask is not None:
         rows = rows.join(mask.select(F.col(key).alias("key")).distinct(), "key", "left_semi")
     asked = queries.where(is_valid(F.col("qvec"), dims)).select("q", "qvec")
@@ -46,21 +46,27 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = DEPTH, key: str
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, q = held.value
-            best_key = best_cos = None
+            pool = best_at = best_cos = None  # the keys of all that is kept, and where in it each query's best are
             for b in batches:
                 if not len(b) or not len(ids):
                     continue
                 v = np.stack(b.vec.values).astype("f8")
                 v /= np.sqrt((v * v).sum(1, keepdims=True))
-                cos, keys = q @ v.T, np.broadcast_to(b.key.to_numpy(), (len(q), len(v)))
-                if best_key is not None:
-                    cos, keys = np.concatenate([best_cos, cos], 1), np.concatenate([best_key, keys], 1)
-                keep = np.lexsort((keys, -np.round(cos, 12)), axis=1)[:, :k]
-                best_cos, best_key = np.take_along_axis(cos, keep, 1), np.take_along_axis(keys, keep, 1)
-            if best_key is not None:
-                n = best_key.shape[1]
+                cos, keys = q @ v.T, b.key.to_numpy()
+                at = np.broadcast_to(np.arange(len(v)), (len(q), len(v)))
+                if pool is not None:
+                    cos, at = np.concatenate([best_cos, cos], 1), np.concatenate([best_at, at + len(pool)], 1)
+                    keys = np.concatenate([pool, keys])
+                place = np.empty(len(keys), int)  # keys may be strings: their places compare faster
+                place[keys.argsort(kind="stable")] = np.arange(len(keys))
+                keep = np.lexsort((place[at], -np.round(cos, 12)), axis=1)[:, :k]
+                best_cos, best_at = np.take_along_axis(cos, keep, 1), np.take_along_axis(at, keep, 1)
+                used, best_at = np.unique(best_at, return_inverse=True)
+                pool, best_at = keys[used], best_at.reshape(keep.shape)
+            if pool is not None:
+                n = best_at.shape[1]
                 for i in range(0, len(ids), 512):
-                    yield pd.DataFrame({"q": np.repeat(ids[i : i + 512], n), "key": best_key[i : i + 512].ravel(), "cosine": best_cos[i : i + 512].ravel()})
+                    yield pd.DataFrame({"q": np.repeat(ids[i : i + 512], n), "key": pool[best_at[i : i + 512].ravel()], "cosine": best_cos[i : i + 512].ravel()})
 
         return rows.mapInPandas(scan, f"q {kinds[1]}, key {kinds[0]}, cosine double")
 

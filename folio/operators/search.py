@@ -60,9 +60,9 @@ def hybrid_search(
     names = allowed.select(F.col("ord").alias("doc_ord"), "id")
     scored = bm25_scores(postings, query_tokens).join(names, "doc_ord").select("q", "id", "score")
     lexical = top_k(scored, depth, "id").select("q", "id", "rank")
-    # ties by id need the id in the dense arm, too: ranks are given anew after the join
-    near = dense_top_k(vectors, query_vectors, depth, dims=dims, mask=allowed).join(allowed, "ord")
-    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.round("cosine", 12).desc(), "id")))
+    # ties go by id in the dense arm, too: the cut at `depth` and the ranks need one order
+    named = vectors.select("ord", "vec").join(allowed, "ord").select("id", "vec")
+    near = dense_top_k(named, query_vectors, depth, key="id", dims=dims)
     dense = near.select("q", "id", "rank")
     fused = rrf([dense, lexical])
     given = guarantee(fused, n, guaranteed).select("q", "id", "garantido", "posicao")

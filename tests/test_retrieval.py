@@ -150,6 +150,17 @@ def test_hybrid_shelf(spark):
     assert len(run(spark, search.Filter(with_discardable=True))) == 6
 
 
+def test_equal_vectors_across_the_cut_go_by_id(spark):
+    rows = [(k, f"p#{99 - k}", [1.0, 0.0, 0.0] if k % 3 else [1.0, 0.1, 0.0]) for k in range(90)]  # ids fall as ord grows
+    df = spark.createDataFrame([(*r[:2], ["a"], "f1", 2020, "texto", False, r[2]) for r in rows], "ord long, id string, areas array<string>, fonte_id string, ano int, tipo string, descartavel boolean, vec array<float>")
+    posts = spark.createDataFrame([("x", 0, 1)], "term string, doc_ord long, tf int")
+    asked = spark.createDataFrame([(0, 0, "nada")], "q long, pos int, term string")
+    vec = spark.createDataFrame([(0, [1.0, 0.0, 0.0])], "q long, qvec array<float>")
+    got = search.hybrid_search(df.repartition(3), posts, df.select("ord", "vec"), asked, vec, depth=20, dims=3).where("posicao_densa is not null")
+    want = sorted(i for _, i, v in rows if v[1] == 0)[:20]
+    assert [r.id for r in got.orderBy("posicao_densa").collect()] == want
+
+
 def test_rerank_reorders_before_the_cut(spark):
     from pyspark.sql.window import Window
 
