@@ -6,6 +6,8 @@ space, else up to white space, else the limit itself. Matching it over and over
 the whole text; where the pieces start follows from the lengths of the matches, and the overlap is
 taken back from there. All of it is SQL array functions: no Python, no shuffle.
 
+The first piece may take the whole limit; the later ones leave room for the overlap.
+
 Defined cases: a null text gives no pieces; an empty or blank one none either; a text within the
 limit is one piece; characters are code points; other columns (those asked for) are carried along.
 """
@@ -20,16 +22,16 @@ OVERLAP = 200
 CLASSES = ["paragrafo", "frase", "espaco", "nenhum"]  # by falling strength
 
 
-def boundary_pattern(limit: int) -> str:
-    """Group 1 is the piece; what follows it up to the next piece is consumed as well."""
-    some = rf"(?s:.{{1,{limit}}})"
+def boundary_pattern(first: int, limit: int) -> str:
+    """Group 1 is the piece, of at most `first` characters where the text begins; what follows it up to the next piece is consumed as well."""
+    some = rf"(?s:.{{1,{limit}}})" if first == limit else rf"(?s:\A.{{1,{first}}}|(?!\A).{{1,{limit}}})"
     core = rf"({some}(?=\n|\z)|{some}(?<=[.!?])(?=(?U:\s))|{some}(?=(?U:\s))|{some})"
     return core + r"(?U:[\s&&[^\n]]*)\n?"
 
 
-def cut(text: Column, limit: int) -> Column:
+def cut(text: Column, first: int, limit: int) -> Column:
     """array<struct<inicio, texto, corte>>: the pieces of a text, corte being 0..3 for the kind of cut that ends it."""
-    pattern = F.lit(boundary_pattern(limit))
+    pattern = F.lit(boundary_pattern(first, limit))
     whole, core = F.regexp_extract_all(text, pattern, F.lit(0)), F.regexp_extract_all(text, pattern, F.lit(1))
     ends = F.aggregate(
         F.transform(whole, F.length),
@@ -69,7 +71,7 @@ def split_pieces(df: DataFrame, text: str, keep: list[str], limit: int = LIMIT,
     got = (
         df.where(F.col(text).isNotNull())
         .select(*[F.col(c) for c in keep], F.col(text).alias("_text"))
-        .withColumn("_p", cut(t, limit - overlap))
+        .withColumn("_p", cut(t, limit, limit - overlap))
         .select(*keep, "_text", F.posexplode("_p").alias("n", "_x"))
         .where(F.trim(F.regexp_replace("_x.texto", r"(?U)\s+", " ")) != "")
     )
@@ -97,6 +99,6 @@ def weakest_cut(df: DataFrame, key: str, text: str, limit: int = LIMIT) -> DataF
         df.where(F.length(text) > limit)
         .select(key, text)
         .distinct()
-        .select(key, F.array_max(F.transform(cut(F.col(text), limit), lambda x: x["corte"])).alias("_k"))
+        .select(key, F.array_max(F.transform(cut(F.col(text), limit, limit), lambda x: x["corte"])).alias("_k"))
         .select(key, F.element_at(F.array(*[F.lit(c) for c in CLASSES]), F.col("_k") + 1).alias("corte"))
     )

@@ -274,6 +274,18 @@ def test_splitting(spark):
         splitting.split_pieces(df, "texto", ["ord"], 50, 50)
 
 
+def test_splitting_leaves_texts_within_the_limit_whole(spark):
+    texts = ["a b. " * n for n in (7, 8, 9, 10)] + ["x" * 39, "x" * 50, "a b\n" * 12 + "c", ("y" * 47 + "\n") + "z" * 20, "x" * 51]
+    df = spark.createDataFrame(list(enumerate(texts)), "ord long, texto string")
+    got = defaultdict(list)
+    for r in splitting.split_pieces(df, "texto", ["ord"], 50, 12).orderBy("ord", "n").collect():
+        got[r.ord].append(r)
+    for i, t in enumerate(texts[:7]):
+        assert [(r.inicio, r.texto, r.corte) for r in got[i]] == [(0, t, "paragrafo")]
+    assert got[7][0].texto == "y" * 47 and got[7][0].corte == "paragrafo" and len(got[7]) == 2
+    assert len(got[8][0].texto) == 50 and len(got[8]) == 2
+
+
 # --- 7
 
 
