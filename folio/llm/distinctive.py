@@ -120,10 +120,10 @@ def term_scores(postings: DataFrame, salts: int = SALTS, rounds: int = 60) -> Da
     )
 
 
-def dominated_terms(postings: DataFrame, least: int = 3, share: float = 0.5, posterior: float = 0.5) -> DataFrame:
-    """(doc_ord, term) where the elite posterior holds and the record has at least that share of all occurrences."""
+def dominated_terms(postings: DataFrame, least: int = 3, share: float = 0.5) -> DataFrame:
+    """(doc_ord, term) where the record has at least that share of all occurrences, and `least` of them; the posterior is a score and excludes nothing."""
     return (
         term_scores(postings)
-        .where((F.col("score") >= posterior) & (F.col("tf") >= least) & (F.col("tf") >= share * F.col("occurrences")))
+        .where((F.col("tf") >= least) & (F.col("tf") >= share * F.col("occurrences")))
         .select("doc_ord", "term")
     )

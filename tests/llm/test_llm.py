@@ -150,6 +150,12 @@ def test_distinctive_terms(spark):
     assert distinctive.term_scores(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("tfs", [[3, 1, 1], [4, 1, 1, 1, 1]])
+def test_distinctive_terms_of_few_records(spark, tfs):
+    df = postings(spark, [("x", d, tf) for d, tf in enumerate(tfs)])
+    assert [tuple(r) for r in distinctive.dominated_terms(df).collect()] == [(0, "x")]
+
+
 def test_em_finds_two_rates():
     rng = np.random.default_rng(0)
     n = 20_000
