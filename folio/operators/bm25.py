@@ -7,15 +7,23 @@ such a sum is the same in any order, so equal pieces tie exactly and sums combin
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folio.config import B, DEPTH, K1
 from folio.functions.tokens import tokens
+from folio.operators.best import CELLS, Best
 
 FIXED = 1e12
+TIE = 1000  # of those units: scores that agree to 9 digits tie
 BROADCAST_ROWS = 200_000  # query terms up to which the query side is broadcast
+FEW = 64  # products of a term (queries by pieces) up to which terms are worked off together
 VALID = "term is not null and term <> '' and doc_ord is not null and tf > 0"
 
 
@@ -26,8 +34,8 @@ def build_postings(pieces: DataFrame, key: str = "ord", text: str = "texto") ->
 
 
 def valid_postings(postings: DataFrame) -> DataFrame:
-    """The rows that count, once each."""
-    return postings.where(VALID).select("term", "doc_ord", "tf").distinct()
+    """The rows that count, once each; they lie by piece, so that what follows per piece needs no further shuffle."""
+    return postings.where(VALID).select("term", "doc_ord", "tf").repartition("doc_ord").distinct()
 
 
 def doc_lengths(postings: DataFrame) -> DataFrame:
@@ -52,24 +60,38 @@ def idf(frequencies: DataFrame, stats: DataFrame) -> DataFrame:
     return frequencies.join(F.broadcast(stats)).select("term", "df", idf_value(F.col("n"), F.col("df")).alias("idf"))
 
 
+def asked_weights(postings: DataFrame, queries: DataFrame) -> tuple[DataFrame, float]:
+    """((term, idf) of the terms asked for, avgdl). df and lengths come from all postings.
+
+    The two statistics of the collection come to the driver, so that they are computed once; the terms
+    are sent to every task as long as they are few, and then no posting is shuffled by term.
+    """
+    stats = corpus_stats(doc_lengths(postings)).first()
+    terms = queries.select("term").distinct()
+    few = terms.count() <= BROADCAST_ROWS
+    hint = F.broadcast if few else lambda df: df
+    found = postings.join(hint(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    return hint(found.select("term", idf_value(F.lit(float(stats.n)), F.col("df")).alias("idf"))), stats.avgdl
+
+
+def term_part(tf, dl, idf, avgdl: float, k1: float, b: float):
+    """What a term adds to a piece's score, as a whole multiple of 1 / FIXED."""
+    return F.round(idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.lit(avgdl))) * FIXED).cast("long")
+
+
 def bm25_scores(postings: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, mask: DataFrame | None = None) -> DataFrame:
     """(q, doc_ord, score) of every matching piece; unmatched pieces score 0 and are not listed.
 
     mask: a DataFrame of doc_ord that may be returned. It is applied after scoring and changes no score.
     """
-    lengths = doc_lengths(postings)
-    stats = corpus_stats(lengths)
     asked = queries.groupBy("q", "term").agg(F.count("*").alias("times"))
     if asked.count() <= BROADCAST_ROWS:  # then no posting is shuffled by term
         asked = F.broadcast(asked)
-    # only the terms asked for: df still comes from all postings
-    weights = idf(postings.groupBy("term").agg(F.count("*").alias("df")), stats).join(queries.select("term").distinct(), "term", "left_semi")
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    weights, avgdl = asked_weights(postings, queries)
     parts = (
-        postings.join(weights.select("term", "idf"), "term")
-        .join(lengths, "doc_ord")
-        .join(F.broadcast(stats.select("avgdl")))
-        .select("term", "doc_ord", F.round(part * FIXED).cast("long").alias("part"))
+        postings.join(weights, "term")
+        .join(doc_lengths(postings), "doc_ord")
+        .select("term", "doc_ord", term_part(F.col("tf"), F.col("dl"), F.col("idf"), avgdl, k1, b).alias("part"))
     )
     # by piece before queries multiply the rows: the sums per query and piece then need no further shuffle
     parts = parts.repartition(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_ord")
@@ -81,3 +103,100 @@ def top_k(scores: DataFrame, k: int = DEPTH, by: str = "doc_ord") -> DataFrame:
     """(…, rank): the k best of every query, score falling, then key; needs a positive score."""
     order = Window.partitionBy("q").orderBy(F.desc("score"), by)
     return scores.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _add_up(out: np.ndarray, q: tuple, d: tuple) -> None:
+    """out[query, piece] += times * part over equal terms; q and d are (term, query or piece, value), sorted by term."""
+    (qt, qi, qv), (dt, di, dv) = q, d
+    terms, start, n = np.unique(dt, return_index=True, return_counts=True)
+    lo, hi = np.searchsorted(qt, terms, "left"), np.searchsorted(qt, terms, "right")
+    size = (hi - lo) * n
+    for j in np.flatnonzero(size > FEW):
+        a, z = slice(lo[j], hi[j]), slice(start[j], start[j] + n[j])
+        out[np.ix_(qi[a], di[z])] += qv[a, None] * dv[z]
+    few = np.flatnonzero((size > 0) & (size <= FEW))
+    if len(few):
+        of = np.repeat(few, size[few])
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(size[few]) - size[few], size[few])
+        a, z = lo[of] + nth // n[of], start[of] + nth % n[of]
+        np.add.at(out, (qi[a], di[z]), qv[a] * dv[z])
+
+
+def bm25_top_k(
+    postings: DataFrame,
+    queries: DataFrame,
+    k: int = DEPTH,
+    names: DataFrame | None = None,
+    by: str = "doc_ord",
+    pairs: DataFrame | None = None,
+    k1: float = K1,
+    b: float = B,
+) -> DataFrame:
+    """(q, by, score, rank): the k best pieces of each query, score (to 9 digits) falling, then `by`.
+
+    names: (doc_ord, by) of the pieces that may be returned, all if it is left out; it changes no score.
+    pairs: (q, by) whose scores are wanted whatever their place; such rows come besides, without a rank.
+    A join would make a row for every query, term and piece; here the postings are shuffled once, to one
+    list a piece, and a task adds up a matrix of queries by pieces (at most CELLS at a time), of which only
+    its k best per query travel on. Queries are sent out in blocks of about BROADCAST_ROWS terms and pairs.
+    """
+    spark = postings.sparkSession
+    stats = corpus_stats(doc_lengths(postings)).first()
+    docs = postings.groupBy("doc_ord").agg(F.sum("tf").cast("double").alias("dl"), F.collect_list(F.struct("term", "tf")).alias("x"))
+    if names is not None:
+        docs = docs.join(names.select("doc_ord", by).distinct(), "doc_ord")
+    docs = docs.select(F.col(by).alias("key"), "dl", F.col("x.term").alias("t"), F.col("x.tf").alias("f"))
+    kinds = dict(docs.dtypes)["key"], dict(queries.dtypes)["q"]
+    asked = queries.groupBy("q", "term").agg(F.count("*").alias("times"))
+    blocks = max(1, -(-(asked.count() + (pairs.count() if pairs is not None else 0)) // BROADCAST_ROWS))
+
+    def one(block: int) -> DataFrame:
+        mine = F.pmod(F.xxhash64("q"), F.lit(blocks)) == block
+        pdf = asked.where(mine).toPandas()
+        ids, at = np.unique(pdf.q.to_numpy(), return_inverse=True)
+        terms, code = np.unique(pdf.term.to_numpy().astype(str), return_inverse=True)
+        df = postings.join(F.broadcast(asked.where(mine).select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")).toPandas()
+        df = df.set_index("term").df.reindex(terms).fillna(0).to_numpy("f8")
+        idf = np.log(1 + (stats.n - df + 0.5) / (df + 0.5))
+        order = np.argsort(code, kind="stable")
+        more = pairs.where(mine).select("q", F.col(by).alias("key")).toPandas().sort_values("key") if pairs is not None else None
+        if more is not None:
+            more = more[more.q.isin(ids)]
+            keys, start = np.unique(more.key.to_numpy(), return_index=True)
+            more = (keys, np.append(start, len(more)), np.searchsorted(ids, more.q.to_numpy()))
+        held = spark.sparkContext.broadcast((ids, terms, idf, more, code[order].astype("i4"), at[order].astype("i4"), pdf.times.to_numpy("i8")[order]))
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, terms, idf, more, *q = held.value
+            best, code = Best(len(ids), k), pd.Index(terms)
+            wanted = pd.Index(more[0]) if more else None
+            step = max(1, CELLS // max(1, len(ids)))
+            for whole in batches:
+                for i in range(0, len(whole) if len(ids) else 0, step):
+                    d = whole.iloc[i : i + step]
+                    keys, n = d.key.to_numpy(), d.f.map(len).to_numpy()
+                    dt, tf = code.get_indexer(np.concatenate(d.t.to_numpy())), np.concatenate(d.f.to_numpy()).astype("f8")
+                    known = np.flatnonzero(dt >= 0)
+                    known = known[np.argsort(dt[known], kind="stable")]
+                    di, dt, tf = np.repeat(np.arange(len(d)), n)[known], dt[known], tf[known]
+                    dv = np.rint(idf[dt] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * d.dl.to_numpy()[di] / stats.avgdl)) * FIXED).astype("i8")
+                    out = np.zeros((len(ids), len(keys)), "i8")
+                    _add_up(out, q, (dt, di, dv))
+                    out = ((out + TIE // 2) // TIE).astype("f8")
+                    best.offer(out, keys, least=1.0)
+                    if more:
+                        at = wanted.get_indexer(keys)
+                        col = np.flatnonzero(at >= 0)
+                        lo, n = more[1][at[col]], more[1][at[col] + 1] - more[1][at[col]]
+                        col, qs = np.repeat(col, n), more[2][np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)]
+                        yield pd.DataFrame({"q": ids[qs], "key": keys[col], "score": out[qs, col] * (TIE / FIXED), "top": False})
+            got = best.result()
+            if got:
+                yield pd.DataFrame({"q": ids[got[0]], "key": got[1], "score": got[2] * (TIE / FIXED), "top": True})
+
+        return docs.mapInPandas(scan, f"q {kinds[1]}, key {kinds[0]}, score double, top boolean")
+
+    found = reduce(DataFrame.unionByName, [one(i) for i in range(blocks)])
+    place = F.row_number().over(Window.partitionBy("q", "top").orderBy(F.desc("score"), "key"))
+    found = found.withColumn("rank", F.when(F.col("top"), place)).where((F.col("rank") <= k) | ~F.col("top"))
+    return found.drop("top").withColumnRenamed("key", by)

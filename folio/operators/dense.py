@@ -12,16 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folio.config import DEPTH
-from folio.functions.vectors import dot, is_valid, norm
+from folio.functions.vectors import is_valid
+from folio.operators.best import CELLS, Best
 
-QUERY_BLOCK = 8192  # query vectors sent out at a time
-
-
-def cosine_scores(vectors: DataFrame, queries: DataFrame, key: str = "ord", vec: str = "vec") -> DataFrame:
-    """(q, key, cosine) of every query with every vector, for small query sets: queries are (q, qvec)."""
-    v, w = F.col(vec), F.col("qvec")
-    pairs = vectors.select(key, vec).join(F.broadcast(queries.select("q", "qvec")))
-    return pairs.select("q", key, (dot(v, w) / (norm(v) * norm(w))).alias("cosine"))
+QUERY_BLOCK = 4096  # query vectors sent out at a time: 2 MB at 64 dimensions
+DIGITS = 12  # cosines that agree to so many digits tie
 
 
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = DEPTH, key: str = "ord", vec: str = "vec", dims: int = 64, mask: DataFrame | None = None) -> DataFrame:
@@ -46,30 +41,21 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = DEPTH, key: str
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, q = held.value
-            pool = best_at = best_cos = None  # the keys of all that is kept, and where in it each query's best are
+            best = Best(len(ids), k)
             for b in batches:
                 if not len(b) or not len(ids):
                     continue
                 v = np.stack(b.vec.values).astype("f8")
                 v /= np.sqrt((v * v).sum(1, keepdims=True))
-                cos, keys = q @ v.T, b.key.to_numpy()
-                at = np.broadcast_to(np.arange(len(v)), (len(q), len(v)))
-                if pool is not None:
-                    cos, at = np.concatenate([best_cos, cos], 1), np.concatenate([best_at, at + len(pool)], 1)
-                    keys = np.concatenate([pool, keys])
-                place = np.empty(len(keys), int)  # keys may be strings: their places compare faster
-                place[keys.argsort(kind="stable")] = np.arange(len(keys))
-                keep = np.lexsort((place[at], -np.round(cos, 12)), axis=1)[:, :k]
-                best_cos, best_at = np.take_along_axis(cos, keep, 1), np.take_along_axis(at, keep, 1)
-                used, best_at = np.unique(best_at, return_inverse=True)
-                pool, best_at = keys[used], best_at.reshape(keep.shape)
-            if pool is not None:
-                n = best_at.shape[1]
-                for i in range(0, len(ids), 512):
-                    yield pd.DataFrame({"q": np.repeat(ids[i : i + 512], n), "key": pool[best_at[i : i + 512].ravel()], "cosine": best_cos[i : i + 512].ravel()})
+                step = max(1, CELLS // len(v))
+                for i in range(0, len(ids), step):
+                    best.offer(q[i : i + step] @ v.T, b.key.to_numpy(), i, DIGITS)
+            got = best.result()
+            if got:
+                yield pd.DataFrame({"q": ids[got[0]], "key": got[1], "cosine": got[2]})
 
         return rows.mapInPandas(scan, f"q {kinds[1]}, key {kinds[0]}, cosine double")
 
     found = reduce(DataFrame.unionByName, [one(b) for b in range(blocks)])
-    order = Window.partitionBy("q").orderBy(F.round("cosine", 12).desc(), "key")
+    order = Window.partitionBy("q").orderBy(F.desc("cosine"), "key")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumnRenamed("key", key)

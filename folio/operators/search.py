@@ -11,9 +11,10 @@ from pyspark.sql.window import Window
 
 from folio.config import DELIVERED, DEPTH, GUARANTEED
 from folio.functions.vectors import dot, norm
-from folio.operators.bm25 import bm25_scores, top_k
+from folio.operators.bm25 import bm25_top_k
 from folio.operators.dense import dense_top_k
-from folio.operators.fusion import guarantee, rrf
+from folio.operators.fusion import delivery, rrf
+from folio.session import written
 
 
 @dataclass(frozen=True)
@@ -57,35 +58,25 @@ def hybrid_search(
     statistics and scores are those of all pieces. rerank may reorder candidates (a new `ordem`) before the cut.
     """
     allowed = pieces.where(where.column()).select("ord", "id").distinct()
-    names = allowed.select(F.col("ord").alias("doc_ord"), "id")
-    scored = bm25_scores(postings, query_tokens).join(names, "doc_ord").select("q", "id", "score")
-    lexical = top_k(scored, depth, "id").select("q", "id", "rank")
+    query_tokens = written(query_tokens.select("q", "term"), "asked")
     # ties go by id in the dense arm, too: the cut at `depth` and the ranks need one order
     named = vectors.select("ord", "vec").join(allowed, "ord").select("id", "vec")
-    near = dense_top_k(named, query_vectors, depth, key="id", dims=dims)
-    dense = near.select("q", "id", "rank")
-    fused = rrf([dense, lexical])
-    given = guarantee(fused, n, guaranteed).select("q", "id", "garantido", "posicao")
-    # every candidate has both raw scores, whichever arm it came by: at most twice the depth a query
+    dense = written(dense_top_k(named, query_vectors, depth, key="id", dims=dims), "dense")
+    # the lexical arm also gives the raw scores of what the dense one found
+    lexical = bm25_top_k(postings, query_tokens, depth, allowed.withColumnRenamed("ord", "doc_ord"), "id", dense.select("q", "id"))
+    arms = [
+        dense.select("q", "id", "rank", F.col("rank").alias("posicao_densa"), F.col("cosine").alias("cosseno")),
+        lexical.select("q", "id", "rank", F.col("rank").alias("posicao_lexica"), F.col("score").alias("bm25")),
+    ]
+    fused = rrf(arms, keep=("posicao_densa", "cosseno", "posicao_lexica", "bm25"))
+    # and what only the lexical arm found gets its cosine: no candidate lacks a raw score
     v, w = F.col("vec"), F.col("qvec")
-    cosines = (
-        fused.select("q", "id")
-        .join(allowed, "id")
-        .join(vectors.select("ord", "vec"), "ord")
-        .join(query_vectors.select("q", "qvec"), "q")
-        .select("q", "id", (dot(v, w) / (norm(v) * norm(w))).alias("cosseno"))
-    )
-    out = (
-        fused.join(given, ["q", "id"], "left")
-        .join(dense.withColumnRenamed("rank", "posicao_densa"), ["q", "id"], "left")
-        .join(lexical.withColumnRenamed("rank", "posicao_lexica"), ["q", "id"], "left")
-        .join(cosines, ["q", "id"], "left")
-        .join(scored.withColumnRenamed("score", "bm25"), ["q", "id"], "left")
-        .withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
-    )
+    lack = fused.join(allowed, "id").join(vectors.select("ord", "vec"), "ord", "left").join(query_vectors.select("q", "qvec"), "q", "left")
+    out = lack.withColumn("cosseno", F.coalesce("cosseno", dot(v, w) / (norm(v) * norm(w)))).withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
+    out = delivery(out.drop("ord", "vec", "qvec"), n, guaranteed)
     # delivered first in their order, then the other candidates by fused place
     order = Window.partitionBy("q").orderBy(F.col("posicao").isNull(), "posicao", "fused")
     out = out.withColumn("ordem", F.row_number().over(order)).drop("best", "fused", "posicao")
     if rerank:
         out = rerank(out)
-    return out.withColumn("entregue", F.col("ordem") <= n).withColumn("garantido", F.coalesce("garantido", F.lit(False)))
+    return out.withColumn("entregue", F.col("ordem") <= n)

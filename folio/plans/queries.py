@@ -15,6 +15,7 @@ from folio.functions import vectors as vx
 from folio.operators import bm25, boundaries, caption, chunk, dense, fusion, geometry, search, select
 from folio.plans.index import content_hash
 from folio.sources import blocks as bl
+from folio.session import written
 from folio.sources import manifest
 from folio.sources.tables import read_table as table
 from folio.streaming import runlog
@@ -55,8 +56,10 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 
 def piece_queries(spark: SparkSession, d: str) -> DataFrame:
     """(q, pos, term): every piece whose place is divisible by 50 asks with its own terms, without function words."""
-    stop = F.col("term").isin(*config.FUNCTION_WORDS, *[w.upper() + config.CASE_MARK for w in config.FUNCTION_WORDS])
-    own = postings(spark, d).where((F.col("doc_ord") % 50 == 0) & ~stop & ~F.col("term").contains(config.CASE_MARK))
+    own = postings(spark, d).where(F.col("doc_ord") % 50 == 0)
+    cased = F.col("term").endswith(config.CASE_MARK)
+    plain = F.when(cased, tk.fold(F.regexp_replace("term", r"\|C\z", ""))).otherwise(F.col("term"))
+    own = own.where(~plain.isin(*config.FUNCTION_WORDS))
     w = Window.partitionBy("doc_ord").orderBy("term")
     return own.select(F.col("doc_ord").alias("q"), F.row_number().over(w).alias("pos"), "term")
 
@@ -67,7 +70,8 @@ _F = "f as (select distinct on (id) * from fonte)"
 _V = """v as (select ord, max(vec)::double[] as vec from matriz where len(vec) = 64 and len(list_filter(vec, lambda x: x is null or not isfinite(x))) = 0
   and len(list_filter(vec, lambda x: x <> 0)) > 0 group by ord)"""
 _STOP = ", ".join(f"'{w}'" for w in config.FUNCTION_WORDS)
-_Q = f"q as (select doc_ord as q, row_number() over (partition by doc_ord order by term) as pos, term from c where doc_ord % 50 = 0 and not contains(term, '|C') and term not in ({_STOP}))"
+_Q = f"""q as (select doc_ord as q, row_number() over (partition by doc_ord order by term) as pos, term from c where doc_ord % 50 = 0
+  and case when term like '%|C' then replace(lower(strip_accents(replace(term, '|C', ''))), 'ß', 'ss') else term end not in ({_STOP}))"""
 _STATS = """dl as (select doc_ord, sum(tf)::double as dl from c group by doc_ord), st as (select count(*)::double as n, avg(dl) as avgdl from dl),
   df as (select term, count(*)::double as df from c group by term),
   pt as (select c.term, c.doc_ord, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) as part
@@ -249,8 +253,8 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 @query(f"with {_SCORES}, r as (select q, doc_ord, round(score, 9) as score, row_number() over (partition by q order by round(score, 9) desc, doc_ord) as rank from s) select q, doc_ord, round(score, 6) as score, rank from r where rank <= 50")
 def bm25_topk(spark, d):
-    got = bm25.top_k(_rounded(bm25.bm25_scores(postings(spark, d), piece_queries(spark, d))))
-    return got.withColumn("score", F.round("score", 6))
+    asked = written(piece_queries(spark, d), "asked")
+    return bm25.bm25_top_k(postings(spark, d), asked).withColumn("score", F.round("score", 6))
 
 
 @query(

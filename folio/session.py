@@ -42,11 +42,36 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends here and the table outlives any executor."""
+    """df as a Parquet table in the shared folder: lineage ends here and the table outlives any executor.
+
+    It is deleted when the session's JVM ends, or before by `discard`."""
     spark = df.sparkSession
     path = fresh_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    passing(spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folio_path = path
+    return out
+
+
+def _folder(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def passing(spark: SparkSession, path: str) -> None:
+    """Marks a written folder as one that goes with the session."""
+    fs, p = _folder(spark, path)
+    fs.deleteOnExit(p)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing unfinished reads any more."""
+    for df in tables:
+        path = getattr(df, "_folio_path", None)
+        if path:
+            fs, p = _folder(df.sparkSession, path)
+            fs.delete(p, True)
 
 
 def ship(spark: SparkSession) -> None:

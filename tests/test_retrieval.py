@@ -1,11 +1,13 @@
 import math
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from folio.operators import bm25, dense, fusion, geometry, search
+from folio.operators.best import Best
 
 DOCS = ["de asma", "de dose dose", "de vacina dt", "de febre", "de tosse", "de dor", "de dose", "de nada", "de lei", "de fim"]
 
@@ -109,8 +111,60 @@ def test_dense_top_k_orders_ties_by_key_and_skips_invalid(spark):
     assert [(r.q, r.ord) for r in got] == [(0, 1), (0, 3)]
     assert dense.dense_top_k(v.where("false"), q, 2, dims=2).count() == 0
     assert dense.dense_top_k(v, q.where("false"), 2, dims=2).count() == 0
-    all_pairs = {r.ord: r.cosine for r in dense.cosine_scores(v.where("ord < 4"), q.where("q = 0")).collect()}
-    assert all_pairs == {1: 1.0, 2: 0.0, 3: 1.0}
+
+
+def test_dense_top_k_against_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(700, 8)).round(1)
+    x[100:400] = x[0]  # many ties across the cut
+    ids = [f"p{n}" for n in rng.permutation(700)]
+    v = spark.createDataFrame([(i, a.tolist()) for i, a in zip(ids, x)], "id string, vec array<float>").repartition(5)
+    q = spark.createDataFrame([(k, x[k].tolist()) for k in range(0, 700, 50)], "q long, qvec array<float>")
+    u = x.astype("f4").astype("f8")
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    got = {}
+    for r in dense.dense_top_k(v, q, 20, key="id", dims=8).orderBy("q", "rank").collect():
+        got.setdefault(r.q, []).append(r.id)
+    for k in got:
+        cos = np.round(u @ u[k], 12)
+        assert got[k] == [ids[i] for i in sorted(range(700), key=lambda i: (-cos[i], ids[i]))[:20]]
+    assert len(got) == 14
+
+
+def test_best_keeps_ties_by_key_over_batches():
+    rng = np.random.default_rng(1)
+    scores, keys = rng.integers(0, 5, (6, 400)).astype("f8"), rng.permutation(400)
+    best = Best(6, 7)
+    for i in range(0, 400, 30):
+        best.offer(scores[:, i : i + 30], keys[i : i + 30])
+    row, key, value = best.result()
+    for j in range(6):
+        want = sorted(range(400), key=lambda i: (-scores[j, i], keys[i]))[:7]
+        assert key[row == j].tolist() == keys[want].tolist() and value[row == j].tolist() == scores[j, want].tolist()
+    assert Best(3, 2).result() is None
+
+
+def test_bm25_top_k_equals_the_scores_of_the_join(spark):
+    rng = np.random.default_rng(2)
+    rows = {(f"t{int(t)}", int(d)): int(rng.integers(1, 5)) for t, d in zip(rng.zipf(1.3, 3000) % 90, rng.integers(0, 120, 3000))}
+    posts = spark.createDataFrame([(t, d, n) for (t, d), n in rows.items()], "term string, doc_ord long, tf int")
+    asked = spark.createDataFrame([(q, i, f"t{t}") for q in range(9) for i, t in enumerate(rng.integers(0, 95, 12).tolist())], "q long, pos int, term string")
+    every = bm25.bm25_scores(posts, asked).select("q", "doc_ord", F.round("score", 9).alias("score"))
+    want = [tuple(r) for r in bm25.top_k(every, 10).select("q", "doc_ord", "rank").orderBy("q", "rank").collect()]
+    got = [tuple(r) for r in bm25.bm25_top_k(posts, asked, 10).select("q", "doc_ord", "rank").orderBy("q", "rank").collect()]
+    assert got == want
+    names = spark.createDataFrame([(d, f"n{d % 50:02d}x{d}") for d in range(0, 120, 2)], "doc_ord long, id string")
+    pairs = spark.createDataFrame([(q, f"n{d % 50:02d}x{d}") for q in range(9) for d in (4, 8, 7)] + [(77, "n04x4")], "q long, id string")
+    old, bm25.BROADCAST_ROWS = bm25.BROADCAST_ROWS, 40
+    try:
+        some = bm25.bm25_top_k(posts, asked, 10, names, "id", pairs).collect()
+    finally:
+        bm25.BROADCAST_ROWS = old
+    held = {(r.q, r.doc_ord): r.score for r in every.collect()}
+    at = {f"n{d % 50:02d}x{d}": d for d in range(120)}
+    assert all(abs(held.get((r.q, at[r.id]), 0) - r.score) < 2e-9 for r in some)
+    assert {(r.q, r.id) for r in some if r["rank"] is None} == {(q, f"n{d % 50:02d}x{d}") for q in range(9) for d in (4, 8)}
+    assert bm25.bm25_top_k(posts.where("false"), asked).count() == 0 and bm25.bm25_top_k(posts, asked.where("false")).count() == 0
 
 
 SHELF = [
