@@ -54,15 +54,17 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_pieces(rows, "texto", ["ord", "id", "secao"])
 
 
+def _marked_terms(spark: SparkSession, d: str) -> DataFrame:
+    store = term_counts.stored_counts(read_table(spark, d, "posting"))
+    return term_counts.marked(store.counts(), store.state()["records"])
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    postings = read_table(spark, d, "posting")
-    counts = term_counts.stored_counts(postings).counts()
-    return term_counts.marked(counts, distinctive.counting_records(postings)).where("marca is not null").select("term", "marca")
+    return _marked_terms(spark, d).where("marca is not null").select("term", "marca")
 
 
 def p6_counts(spark: SparkSession, d: str) -> DataFrame:
-    postings = read_table(spark, d, "posting")
-    return term_counts.marked(term_counts.stored_counts(postings).counts(), distinctive.counting_records(postings))
+    return _marked_terms(spark, d)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

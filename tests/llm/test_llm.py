@@ -199,6 +199,39 @@ def test_changed_row_keeps_its_record_count(spark):
     assert [(r.term, r.occurrences, r.records) for r in got] == [("t", 3, 0)]
 
 
+@pytest.mark.parametrize("before, after, want", [
+    ([("t", 1, 2), ("t", 1, 5)], [("t", 1, 5)], [("t", -2, 0)]),  # one of two rows of a pair goes
+    ([("t", 1, 3)], [("t", 1, 3), ("t", 1, 5)], [("t", 5, 0)]),  # a second row comes
+    ([("t", 1, 3)], [], [("t", -3, -1)]),
+    ([], [("t", 1, 3), ("t", 1, 4), ("t", 2, 1)], [("t", 8, 2)]),
+    ([("t", 1, 3)], [("t", 2, 3)], []),  # another record, the same counts
+])
+def test_deltas_count_records_not_rows(spark, before, after, want):
+    a, b = postings(spark, before), postings(spark, after)
+    assert [tuple(r) for r in term_counts.signed_deltas(*term_counts.changes(a, b)).collect()] == want
+
+
+def test_store_takes_late_rows_as_changes_and_survives_a_dead_merge(spark):
+    rows = some_postings(3)
+    day = dt.datetime(2025, 1, 1)
+    rng = random.Random(9)
+    timed = [(t, d, tf, day + dt.timedelta(days=rng.choice([0, 0, 0, 60]))) for t, d, tf in rows]
+    timed += [(t, d, tf, day + dt.timedelta(days=90)) for t, d, tf, _ in timed[:40]]  # repeated, late
+    timed += [(t, d, tf + 1, day + dt.timedelta(days=91)) for t, d, tf, _ in timed[40:80]] + [("so-tarde", 999, 2, day + dt.timedelta(days=92)), ("sem", 998, 1, None)]
+    df = spark.createDataFrame([(*r, "x") for r in timed + [("", 1, 1, day), (None, 5, 1, day)]], "term string, doc_ord long, tf int, indexado_em timestamp, salt string")
+    store = term_counts.stored_counts(df)
+    want = counts_of({(t, d, tf) for t, d, tf, _ in timed})
+    read = lambda: {r.term: (r.occurrences, r.records) for r in store.counts().collect()}
+    assert read() == want and store.state()["records"] == len({d for _, d, _, _ in timed}) and store.state()["number"] == 2
+    broken = df.select("term", F.lit(1).alias("occurrences"), F.raise_error(F.lit("lost")).cast("long").alias("records"))
+    with pytest.raises(Exception, match="lost"):
+        store.merge(broken)
+    assert read() == want
+    same = store.state() | {"number": 2}
+    with pytest.raises(RuntimeError):
+        store._commit(same)  # a state is never overwritten
+
+
 # --- 4
 
 
