@@ -267,6 +267,31 @@ def test_rank_walk_small_and_large_agree(spark):
     assert rank_walk.majority_winners(df.where("false")).count() == 0
 
 
+def test_ties_go_by_id_on_both_paths(spark):
+    df = spark.createDataFrame([(1, i, 0.5, 0.5, 0.5) for i in range(12)], "consulta_id long, id long, cosseno double, bm25 double, rrf double")
+    cols = ["cosseno", "bm25", "rrf"]
+    for small in (100, 3):
+        got = rank_walk.rank_walk(df, "consulta_id", "id", cols, small=small, rounds=4, block=4).orderBy("place").collect()
+        assert [r.id for r in got] == list(range(12)) and not any(r.champion for r in got)
+
+
+def test_winner_is_among_the_candidates_of_the_walk():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        n = int(rng.integers(2, 40))
+        v = rng.integers(0, n, (n, 3)).astype("f8")
+        v[0, rng.permutation(3)[:2]] = n + 1  # a winner that may be last on the third score
+        v[0, v[0] < n] = -1
+        if rng.random() < 0.5:  # or one that wins on different scores against different items
+            v = np.stack([rng.permutation(n), rng.permutation(n), rng.permutation(n)], 1).astype("f8")
+        mass = rank_walk.walk(v)
+        win = [i for i in range(n) if all((v[i] > v[j]).sum() >= 2 for j in range(n) if j != i)]
+        candidate = mass >= rank_walk.winner_bound(n, 3, 2)
+        assert all(candidate[i] for i in win)
+        best = rank_walk.majority_champion(v, np.argsort(-mass), candidate, 2)
+        assert best == (win[0] if win else None)
+
+
 def test_rank_walk_is_not_moved_by_scale():
     rng = np.random.default_rng(1)
     v = rng.random((50, 3))
