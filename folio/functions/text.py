@@ -27,12 +27,6 @@ def drop_calls(c: Column) -> Column:
     return F.when(c.rlike(r"[A-Za-zÀ-ÿ)]\d"), F.array_join(F.transform(F.split(c, " "), one), " ")).otherwise(c)
 
 
-def squeeze(c: Column) -> Column:
-    """Private-use glyphs to hyphens, no-break spaces to spaces, runs of spaces and tabs to one, stripped."""
-    c = F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x{E000}-\x{F8FF}]", "-")
-    return strip(F.regexp_replace(F.replace(c, F.lit(" "), F.lit(" ")), r"[ \t]+", " "))
-
-
 def clean(c: Column) -> Column:
     """A line of extracted text as it is indexed (null gives an empty text)."""
     c = F.replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x{E000}-\x{F8FF}]", "-"), F.lit(" "), F.lit(" "))

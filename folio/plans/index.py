@@ -1,8 +1,8 @@
 """Building, signing, loading and checking an index in a folder.
 
 The folder holds Parquet tables (pieces, vectors, postings), a public registry without text and a
-one-row signature. Content is hashed, not files: rows are hashed in buckets of consecutive places,
-then the bucket hashes, so that no task holds all ids.
+one-row signature; what the model refused is a table, too. Content is hashed, not files: rows are
+hashed in buckets of consecutive places, then the bucket hashes in buckets, so that no task holds all.
 """
 
 from __future__ import annotations
@@ -22,10 +22,12 @@ from folio.functions.vectors import l2_normalize_strict
 from folio.operators.bm25 import build_postings, corpus_stats, doc_lengths
 from folio.operators.caption import with_captions
 from folio.operators.select import exclusion_reasons, indexable, indexed_sources
+from folio.session import written
 from folio.sources.cache import cached_embed
 
 BUCKET = 4096
-LABELS = ["id", "fonte_id", "titulo_fonte", "orgao", "ano", "parte", "secao", "titulo_secao", "pagina_inicial", "pagina_final", "tipo"]
+# The fields of a piece that the public registry shows.
+LABELS = ["id", "fonte_id", "parte", "secao", "titulo_secao", "pagina_inicial", "pagina_final", "tipo", "areas", "ano"]
 
 
 class Misaligned(ValueError):
@@ -36,17 +38,18 @@ class OtherModel(ValueError):
     pass
 
 
+def _joined_hash(order: str, value: str) -> Column:
+    """The hash of a group's values in order, one a line."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value])
+    return F.sha2(F.array_join(lines, "\n").cast("binary"), 256)
+
+
 def content_hash(rows: DataFrame, value: Column, order: str = "ord") -> DataFrame:
-    """(hash, linhas), one row: the hash of the values in order, by buckets of BUCKET places."""
-    v = F.coalesce(value.cast("string"), F.lit("\0"))
-    buckets = rows.groupBy(F.floor(F.col(order) / BUCKET).alias("b")).agg(
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, v.alias("v")))), lambda x: x["v"]), "\n").cast("binary"), 256).alias("h"),
-        F.count("*").alias("n"),
-    )
-    return buckets.agg(
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "\n").cast("binary"), 256).alias("hash"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("linhas"),
-    )
+    """(hash, linhas), one row: the hash of the values in order, by buckets of BUCKET places and buckets of these."""
+    rows = rows.select(F.col(order).alias("o"), F.coalesce(value.cast("string"), F.lit("\0")).alias("v"))
+    buckets = rows.groupBy(F.floor(F.col("o") / BUCKET).alias("b")).agg(_joined_hash("o", "v").alias("h"), F.count("*").alias("n"))
+    above = buckets.groupBy(F.floor(F.col("b") / BUCKET).alias("c")).agg(_joined_hash("b", "h").alias("h"), F.sum("n").alias("n"))
+    return above.agg(_joined_hash("c", "h").alias("hash"), F.coalesce(F.sum("n"), F.lit(0)).alias("linhas"))
 
 
 def commit_name(folder: str = ".") -> str:
@@ -63,15 +66,25 @@ class Shelf:
     pieces: DataFrame
     vectors: DataFrame
     postings: DataFrame
+    refused: DataFrame
     signature: dict
 
 
-def signature_of(pieces: DataFrame, vectors: DataFrame) -> dict:
+SIGNED = ["sha_ids", "sha_pedacos", "sha_vetores", "sha_postings", "sha_recusados", "indexados", "vetores", "recusados"]
+
+
+def signature_of(pieces: DataFrame, vectors: DataFrame, postings: DataFrame, refused: DataFrame) -> dict:
     ids = content_hash(pieces, F.col("id")).first()
     texts = content_hash(pieces, F.concat_ws("\0", "id", "texto", "legenda")).first()
-    # the components as text, shortened to what single precision holds
-    vecs = content_hash(vectors, F.array_join(F.transform("vec", lambda x: F.format_string("%.7e", x.cast("double"))), ",")).first()
-    return {"sha_ids": ids.hash, "sha_pedacos": texts.hash, "sha_vetores": vecs.hash, "indexados": ids.linhas, "vetores": vecs.linhas}
+    # nine digits tell any two numbers of single precision apart
+    vecs = content_hash(vectors, F.array_join(F.transform("vec", lambda x: F.format_string("%.8e", x.cast("double"))), ",")).first()
+    lists = postings.groupBy("doc_ord").agg(F.array_sort(F.collect_list(F.concat_ws("\0", "term", F.col("tf").cast("string")))).alias("x"))
+    terms = content_hash(lists, F.array_join("x", "\n"), "doc_ord").first()
+    out = content_hash(refused, F.concat_ws("\0", "id", "sha256_texto", F.col("caracteres").cast("string"))).first()
+    return {
+        "sha_ids": ids.hash, "sha_pedacos": texts.hash, "sha_vetores": vecs.hash, "sha_postings": terms.hash, "sha_recusados": out.hash,
+        "indexados": ids.linhas, "vetores": vecs.linhas, "recusados": out.linhas,
+    }
 
 
 def build(
@@ -88,6 +101,7 @@ def build(
     cache: DataFrame | None = None,
     now: Callable[[], str] = lambda: datetime.datetime.now(datetime.UTC).isoformat(timespec="seconds"),
     commit: Callable[[], str] = commit_name,
+    server: str = "",
 ) -> Shelf:
     """A full rebuild: selection, captions, texts, vectors (only of texts the cache lacks), postings, signature."""
     if not model_digest:
@@ -95,33 +109,35 @@ def build(
     name = commit()
     useful = pieces.where(~F.coalesce("descartavel", F.lit(False)))
     chosen = with_captions(indexable(useful, sources, with_superseded))
-    chosen = chosen.withColumn("denso", dense_text(F.col("legenda")))
+    chosen = written(chosen.withColumn("denso", dense_text(F.col("legenda"))), "chosen")
     cache = cache if cache is not None else spark.createDataFrame([], "chave string, vetor array<float>")
-    every, new = cached_embed(chosen.select("ord", "denso"), cache, call, model, model_digest, "ord", "denso")
-    every.write.mode("overwrite").parquet(f"{folder}/embedded")
-    every = spark.read.parquet(f"{folder}/embedded")
+    try:
+        every, new = cached_embed(chosen.select("ord", "denso"), cache, call, model, model_digest, "ord", "denso")
+    finally:
+        getattr(call, "unload", lambda: None)()
     new.write.mode("append").parquet(f"{folder}/cache")
     accepted, refused = every.where("estado = 'aceito'"), every.where("estado = 'recusado'")
-    vectors = accepted.select("ord", l2_normalize_strict(F.col("vetor"), dims).cast("array<float>").alias("vec"))
-    vectors.write.mode("overwrite").parquet(f"{folder}/vectors")
-    kept = chosen.join(accepted.select("ord"), "ord", "left_semi")
+    table = lambda name: spark.read.parquet(f"{folder}/{name}")
+    accepted.select("ord", l2_normalize_strict(F.col("vetor"), dims).cast("array<float>").alias("vec")).write.mode("overwrite").parquet(f"{folder}/vectors")
+    out = chosen.join(refused.select("ord"), "ord").select("ord", "id", digest(F.col("texto")).alias("sha256_texto"), F.length("denso").alias("caracteres"))
+    out.write.mode("overwrite").parquet(f"{folder}/refused")
+    kept = chosen.join(table("vectors").select("ord"), "ord", "left_semi")
     kept.drop("denso").repartitionByRange("ord").sortWithinPartitions("ord").write.mode("overwrite").parquet(f"{folder}/pieces")
-    stored = spark.read.parquet(f"{folder}/pieces")
+    stored = table("pieces")
     build_postings(stored.withColumn("lexico", lexical_text(F.col("legenda"))), "ord", "lexico").write.mode("overwrite").parquet(f"{folder}/postings")
-    postings = spark.read.parquet(f"{folder}/postings")
     stored.select(*[c for c in LABELS if c in stored.columns], digest(F.col("texto")).alias("sha256_texto"), F.length("texto").alias("caracteres")).write.mode("overwrite").json(f"{folder}/registry")
-    stats = corpus_stats(doc_lengths(postings)).first()
-    out = chosen.join(refused.select("ord"), "ord").select("ord", "id", digest(F.col("texto")).alias("sha256_texto"), F.length("denso").alias("caracteres"))
+    stats = corpus_stats(doc_lengths(table("postings"))).first()
     signature = {
-        "modelo": model, "digest": model_digest, "dimensao": dims, "tokenizador": config.TOKENIZER_VERSION, "commit": name, "construido_em": now(),
-        "bm25": {"k1": config.K1, "b": config.B, "n": stats.n, "avgdl": stats.avgdl},
+        "modelo": model, "digest": model_digest, "servidor": server, "dimensao": dims, "tokenizador": config.TOKENIZER_VERSION, "commit": name, "construido_em": now(),
+        "bm25": {"k1": config.K1, "b": config.B, "n": stats.n, "avgdl": stats.avgdl, "vocabulario": table("postings").select("term").distinct().count()},
         "fusao": {"k": config.RRF_K, "garantidos": config.GUARANTEED, "profundidade": config.DEPTH, "n": config.DELIVERED},
+        "incluir_superadas": with_superseded,
+        # sources are the entries of a manifest: few, whatever the size of the corpus
         "fontes": [r.fonte_id for r in indexed_sources(stored).collect()],
         "fontes_de_fora": {r.id: r.motivo for r in exclusion_reasons(sources, blocks, pieces).collect() if not (with_superseded and r.motivo == "superada")},
-        "recusados": [r.asDict() for r in out.orderBy("ord").drop("ord").collect()],
-    } | signature_of(stored, spark.read.parquet(f"{folder}/vectors"))
+    } | signature_of(stored, table("vectors"), table("postings"), table("refused"))
     spark.createDataFrame([(json.dumps(signature, sort_keys=True, ensure_ascii=False, indent=1),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/signature")
-    return Shelf(stored, spark.read.parquet(f"{folder}/vectors"), postings, signature)
+    return Shelf(stored, table("vectors"), table("postings"), table("refused"), signature)
 
 
 def load(spark: SparkSession, folder: str, model_digest: str) -> Shelf:
@@ -131,11 +147,11 @@ def load(spark: SparkSession, folder: str, model_digest: str) -> Shelf:
         raise OtherModel(f"built with {signature['digest']}, running {model_digest}")
     if signature["tokenizador"] != config.TOKENIZER_VERSION:
         raise Misaligned(f"tokenizer {signature['tokenizador']}, running {config.TOKENIZER_VERSION}")
-    pieces, vectors = spark.read.parquet(f"{folder}/pieces"), spark.read.parquet(f"{folder}/vectors")
-    found = signature_of(pieces, vectors)
-    for what in ("sha_ids", "sha_pedacos", "sha_vetores", "indexados", "vetores"):
+    tables = [spark.read.parquet(f"{folder}/{n}") for n in ("pieces", "vectors", "postings", "refused")]
+    found = signature_of(*tables)
+    for what in SIGNED:
         if found[what] != signature[what]:
             raise Misaligned(f"{what} differs from the signature")
-    if pieces.select("ord").join(vectors.select("ord"), "ord", "left_anti").limit(1).count():
+    if tables[0].select("ord").join(tables[1].select("ord"), "ord", "left_anti").limit(1).count():
         raise Misaligned("a piece has no vector")
-    return Shelf(pieces, vectors, spark.read.parquet(f"{folder}/postings"), signature)
+    return Shelf(*tables, signature)

@@ -84,7 +84,14 @@ def _strip(x: str) -> str:
 
 
 _FROM, _TO = "'µμ²³¹ºª\u00a0\u3000\u2007\u2009\u202f'", "'uu231oa     '"
-_SQUEEZED = r"regexp_replace(replace(regexp_replace(x, '[\x{E000}-\x{F8FF}]', '-', 'g'), chr(160), ' '), '[ \t]+', ' ', 'g')"
+# cleaning: glued reference calls go, token by token; RE2 has no look-around, so what stands around a call is kept by groups
+_ADDRESS = r"(?i)https?://|www\.|\.[A-Za-z]{2,5}(?:/|\?|$)|\.(?:com|org|net|gov|edu|int|br|pdf|html?)(?:[^A-Za-z0-9_]|$)"
+_CALLS = (
+    rf"case when regexp_matches(t, '{_ADDRESS}') then t else regexp_replace(regexp_replace(t, "
+    r"'([A-Za-zÀ-ÿ)])[0-9]+(?:–[0-9]+)?(?:,[0-9]+(?:–[0-9]+)?)+([^\pL\pN_]|$)', '\1\2', 'g'), "
+    r"'([A-Za-zÀ-ÿ]{4}[a-zà-ÿ])[0-9]+($|[.,]$|[.,][^0-9]|[^\pL\pN_.,])', '\1\2', 'g') end"
+)
+_CLEANED = rf"regexp_replace(array_to_string(list_transform(string_split(replace(regexp_replace(coalesce(x, ''), '[\x{{E000}}-\x{{F8FF}}]', '-', 'g'), chr(160), ' '), ' '), lambda t: {_CALLS}), ' '), '[ \t]+', ' ', 'g')"
 _PLAIN_SPACES = r"regexp_replace(coalesce(texto, ''), '[\x{00A0}\x{3000}\x{2007}\x{2009}\x{202F}]', ' ', 'g')"
 
 
@@ -93,14 +100,14 @@ _PLAIN_SPACES = r"regexp_replace(coalesce(texto, ''), '[\x{00A0}\x{3000}\x{2007}
 
 @query(
     rf"""with l as (select doc_id, unnest(a) as x, unnest(range(len(a))) as ord from (select distinct doc_id, regexp_split_to_array(text, '\r\n|\n|\r') as a from documents where text is not null)),
-    k as (select doc_id, ord, {_strip(_SQUEEZED)} as texto from l)
+    k as (select doc_id, ord, {_strip(_CLEANED)} as texto from l)
     select doc_id, ord, texto from k where texto <> ''"""
 )
 def doc_blocks(spark, d):
     return bl.document_blocks(table(spark, d, "documents"))
 
 
-@query()
+@query(f"select distinct fonte_id, ord, {_strip(_CLEANED.replace('coalesce(x', 'coalesce(texto'))} as texto from bloco")
 def clean_text(spark, d):
     return table(spark, d, "bloco").select("fonte_id", "ord", tx.clean(F.col("texto")).alias("texto")).distinct()
 
@@ -183,10 +190,20 @@ def tokenize_base(spark, d):
     return words.groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
 
 
-_TH = r"regexp_replace(regexp_replace({0}, '([0-9])\.([0-9]{{3}})(?:\.|$)', '\1\2.', 'g'), '\.$', '')"
+# a thousands dot is one between a digit and exactly three digits; a distinct list keeps the first of equal values
+_TH = """array_to_string(list_transform(string_split({0}, '.'), lambda p, i: case when i = 1 then p
+  when regexp_matches(string_split({0}, '.')[i - 1], '[0-9]$') and regexp_matches(p, '^[0-9]{{3}}([^0-9]|$)') then p else '.' || p end), '')"""
+_GLUE = "regexp_replace(" + _TH.format("token") + ", '[-/]', '', 'g')"
+_FORMS = f"""case when len(parts) > 1 then list_concat([token, {_TH.format("token")}], flatten(list_transform(parts, lambda s: [s, {_TH.format("s")}])),
+  case when length({_GLUE}) <= 8 and regexp_matches({_GLUE}, '[a-z]') then [{_GLUE}] else [] end) else [token, {_TH.format("token")}] end"""
+_DISTINCT = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+_PARTS = "list_filter(regexp_split_to_array(token, '[-/]'), lambda s: s <> '')"
 
 
-@query()
+@query(
+    f"""with t as (select distinct unnest({_TOKENS}) as token from prova_item where text is not null), p as (select token, {_PARTS} as parts from t), f as (select token, {_FORMS} as fs from p),
+    d as (select token, {_DISTINCT.format("fs")} as fs from f) select token, unnest(range(len(fs)))::int as ordem, unnest(fs) as forma from d"""
+)
 def token_forms(spark, d):
     """Every distinct token of the items with its forms (thousands, segments, glued), by built-in functions."""
     items = table(spark, d, "prova_item").where("text is not null")
@@ -194,7 +211,17 @@ def token_forms(spark, d):
     return words.select("token", F.posexplode(tk.token_forms(F.col("token"))).alias("ordem", "forma"))
 
 
-@query()
+_RAW = "regexp_extract_all(text, '[0-9A-Za-zÀ-ÖØ-öø-ÿµμ²³¹ºª]+(?:[./,\\-][0-9A-Za-zÀ-ÖØ-öø-ÿµμ²³¹ºª]+)*')"
+
+
+@query(
+    f"""with i as (select distinct item_id, text from prova_item), r as (select item_id, {_RAW} as rs from i), u as (select item_id, unnest(rs) as text, unnest(range(len(rs))) as n from r),
+    t as (select item_id, n, text as raw, {_FOLDED} as token from u), p as (select *, {_PARTS} as parts from t), f as (select *, {_FORMS} as fs from p),
+    d as (select item_id, n, list_concat({_DISTINCT.format("fs")}, case when length(raw) <= 5 and raw <> lower(raw) then [raw || '|C'] else [] end) as fs from f),
+    e as (select item_id, n, unnest(range(len(fs))) as k, unnest(fs) as token from d),
+    k as (select * from e where case when token like '%|C' then replace(lower(strip_accents(replace(token, '|C', ''))), 'ß', 'ss') else token end not in ({_STOP}))
+    select item_id, (row_number() over (partition by item_id order by n, k) - 1)::int as pos, token from k"""
+)
 def item_tokens(spark, d):
     """Query tokens of the items: all forms and cased tokens, without function words."""
     items = table(spark, d, "prova_item").select("item_id", "text").distinct()
@@ -211,9 +238,23 @@ def query_tokens(spark, d):
     return words.groupBy("item_id", "token").agg(F.count("*").alias("n"))
 
 
-@query()
+# texts of characters that no readable copy of a piece would show otherwise
+_READABLE = r"^[\n -~À-ÖØ-öø-ÿ•–—≥≤µ²³¹ºª°]*$"
+
+
+@query(
+    f"""with {_P}, {_C} select c.term, c.doc_ord, c.tf from c join p on p.ord = c.doc_ord where p.texto is not null and regexp_matches(p.texto, '{_READABLE}')"""
+)
 def term_frequencies(spark, d):
-    """The inverted index made by the full tokenizer from the pieces."""
+    """The inverted index made by the full tokenizer from the pieces whose stored text is its own readable copy:
+    the given postings come from such copies."""
+    rows = pieces(spark, d).where(F.col("texto").rlike(_READABLE.replace("^", r"\A").replace("$", r"\z")))
+    return bm25.build_postings(rows)
+
+
+@query()
+def term_frequencies_all(spark, d):
+    """The inverted index made by the full tokenizer from all pieces as they are stored."""
     return bm25.build_postings(pieces(spark, d))
 
 
@@ -365,9 +406,20 @@ def hybrid_filtered(spark, d):
     return _delivered(_hybrid(spark, d, search.Filter(areas=("pediatria", "clinica-medica"), years=tuple(range(2015, 2021)))))
 
 
-@query()
+def _log_sql(mask: str) -> str:
+    head, _, _ = _hybrid_sql(mask).rpartition("select g.q, g.id")
+    return f"""{head} select u.q, u.id, row_number() over (partition by u.q order by g.posicao nulls last, u.fused)::int as ordem, x.rk as posicao_lexica, y.rk as posicao_densa,
+      round(cv.cosine, 6) as cosseno, round(coalesce(sv.score, 0), 6) as bm25, round(u.rrf, 9) as rrf, coalesce(g.posicao <= 8 and g.fused > 8, false) as garantido
+    from u left join (select * from g where posicao <= 8) g using (q, id) left join (select * from x where rk <= 50) x using (q, id) left join (select * from y where rk <= 50) y using (q, id)
+      left join x sv on sv.q = u.q and sv.id = u.id left join y cv on cv.q = u.q and cv.id = u.id"""
+
+
+@query(_log_sql("not coalesce(descartavel, false)"))
 def run_log(spark, d):
-    return runlog.run_log(_hybrid(spark, d, search.Filter()))
+    """The log of the searches: every candidate with its place, both ranks and both raw scores."""
+    log = runlog.run_log(_hybrid(spark, d, search.Filter()))
+    rows = log.select("q", F.explode("candidatos").alias("c")).select("q", "c.*")
+    return rows.select("q", "id", "ordem", "posicao_lexica", "posicao_densa", F.round("cosseno", 6).alias("cosseno"), F.round("bm25", 6).alias("bm25"), F.round("rrf", 9).alias("rrf"), "garantido")
 
 
 @query(f"with {_P} select ord, id from p where coalesce(list_has_any(areas, ['pediatria', 'urgencia']), false) and not coalesce(descartavel, false)")
@@ -523,7 +575,8 @@ def piece_stats(spark, d):
 
 @query(
     f"""with {_P}, h as (select ord // 4096 as b, sha256(string_agg(coalesce(id, chr(0)), chr(10) order by ord)) as h, count(*) as n from p group by 1)
-    select sha256(string_agg(h, chr(10) order by b)) as hash, sum(n)::bigint as linhas from h"""
+    , k as (select b // 4096 as c, sha256(string_agg(h, chr(10) order by b)) as h, sum(n) as n from h group by 1)
+    select sha256(string_agg(h, chr(10) order by c)) as hash, sum(n)::bigint as linhas from k"""
 )
 def signature_hash(spark, d):
     return content_hash(pieces(spark, d), F.col("id"))

@@ -59,6 +59,11 @@ def _folder(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _folder(spark, path)
+    return fs.exists(p)
+
+
 def passing(spark: SparkSession, path: str) -> None:
     """Marks a written folder as one that goes with the session."""
     fs, p = _folder(spark, path)

@@ -45,15 +45,22 @@ def acquire(source: dict, folder: str, fetch: Callable[[str], bytes] = http_fetc
     return {"id": source["id"], "url": source["url"], "sha256": digest, "bytes": len(data), "baixado_em": today().isoformat()}
 
 
-def acquire_all(sources: list[dict], folder: str, provenance: str, fetch: Callable[[str], bytes] = http_fetch) -> list[str]:
-    """Acquires every source; failures are returned and skipped. Provenance holds the successes."""
+def acquire_all(
+    sources: list[dict], folder: str, provenance: str, fetch: Callable[[str], bytes] = http_fetch, say: Callable[[str], None] = lambda line: None
+) -> list[str]:
+    """Acquires every source and says how each went; failures are returned and skipped. Provenance holds the successes, if any."""
     records, failed = [], []
     for s in sources:
         try:
-            records.append(acquire(s, folder, fetch))
+            r = acquire(s, folder, fetch)
         except Exception as e:  # noqa: BLE001 - one source must not stop the others
             failed.append(f"{s['id']}: {e}")
-    write_provenance(records, provenance)
+            say(f"FALHOU  {failed[-1]}")
+        else:
+            records.append(r)
+            say(f"ok      {r['id']}  {r['sha256'][:12]}  {r['bytes']} bytes")
+    if records:
+        write_provenance(records, provenance)
     return failed
 
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.functions.text import squeeze
+from folio.functions.text import clean
 
 
 def document_blocks(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ord, texto): one block per line that is not blank, cleaned; ord is the line's place."""
+    """(key, ord, texto): one block per line that is not blank, cleaned (glued reference calls included); ord is the line's place."""
     lines = documents.where(F.col(key).isNotNull()).select(key, F.posexplode(F.split(text, r"\r\n|\n|\r")).alias("ord", "linha"))
-    return lines.select(key, F.col("ord").cast("long").alias("ord"), squeeze(F.col("linha")).alias("texto")).where("texto <> ''")
+    return lines.select(key, F.col("ord").cast("long").alias("ord"), clean(F.col("linha")).alias("texto")).where("texto <> ''")

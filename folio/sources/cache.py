@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.config import EMBEDDING_BATCH
+from folio.session import written
 
 
 class Refused(Exception):
@@ -52,10 +53,12 @@ def embed(texts: DataFrame, call: Callable[[list[str]], list[list[float]]], key:
 
 
 def cached_embed(texts: DataFrame, cache: DataFrame, call, model: str, model_digest: str, key: str = "ord", text: str = "texto") -> tuple[DataFrame, DataFrame]:
-    """((key, vetor, estado) of all texts, new cache rows (chave, vetor)): only misses reach `call`, each text once."""
+    """((key, vetor, estado) of all texts, new cache rows (chave, vetor)): only misses reach `call`, each text once.
+
+    What `call` gives is written before anything is derived from it, so that nothing asks for it again."""
     hits, misses = split_by_cache(texts, cache, model, model_digest, text)
     asked = misses.select("chave", text).dropDuplicates(["chave"])
-    got = embed(asked.select(F.col("chave"), text), call, "chave", text)
+    got = written(embed(asked.select(F.col("chave"), text), call, "chave", text), "embedded")
     new = misses.select(key, "chave").join(got, "chave")
     every = hits.select(key, "vetor", F.lit("aceito").alias("estado")).unionByName(new.select(key, "vetor", "estado"))
     return every, got.where("estado = 'aceito'").select("chave", "vetor")
