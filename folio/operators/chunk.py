@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from folio.config import CEILING, EMPTY_TITLES, FLOOR, PARTS_ON_PAGE
@@ -239,6 +240,12 @@ def pack_column(sizes, ceiling: int = CEILING):
     return F.aggregate(sizes, zero, step, lambda acc: acc["g"])
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def pack_lifted(sizes: pd.Series) -> pd.Series:
+    """The groups of `pack` for each array of sizes."""
+    return sizes.map(lambda s: pack([int(n) for n in s]))
+
+
 def emit(labelled: DataFrame) -> DataFrame:
     """Packed pieces in order: of each run first its text, then each table on its own."""
 
@@ -262,7 +269,8 @@ def emit(labelled: DataFrame) -> DataFrame:
 
 
 def join_short(pieces: DataFrame, ceiling: int = CEILING, floor: int = FLOOR) -> DataFrame:
-    """Short pieces joined to the next of the same kind and section; only stretches of equal labels meet."""
+    """Short pieces joined to the next of the same kind and section (juntados says how many became one); only
+    stretches of equal labels meet."""
     order = ["trecho", "corrida", "k", "ord"]
     same = ["tipo", "descartavel", "parte", "secao", "titulo_secao"]
     w = Window.partitionBy("fonte_id").orderBy(*order)
@@ -279,19 +287,21 @@ def join_short(pieces: DataFrame, ceiling: int = CEILING, floor: int = FLOOR) ->
                     if open_piece and len(open_piece["texto"]) < floor and len(open_piece["texto"]) + len(p["texto"]) + 1 <= ceiling:
                         open_piece["texto"] += "\n" + p["texto"]
                         open_piece["pagina_final"] = max(open_piece["pagina_final"], p["pagina_final"])
+                        open_piece["juntados"] += 1
                         continue
-                    open_piece = p
+                    open_piece = p | {"juntados": 1}
+                    p = open_piece
                     out.append((r.fonte_id, r.ilha, p, r.parte, r.secao, r.titulo_secao, r.tipo, r.descartavel))
             yield pd.DataFrame(
-                [(f, i, *(p[c] for c in [*order, "pagina_inicial", "pagina_final", "texto"]), *rest) for f, i, p, *rest in out],
-                columns=["fonte_id", "ilha", *order, "pagina_inicial", "pagina_final", "texto", "parte", "secao", "titulo_secao", "tipo", "descartavel"],
+                [(f, i, *(p[c] for c in [*order, "pagina_inicial", "pagina_final", "texto", "juntados"]), *rest) for f, i, p, *rest in out],
+                columns=["fonte_id", "ilha", *order, "pagina_inicial", "pagina_final", "texto", "juntados", "parte", "secao", "titulo_secao", "tipo", "descartavel"],
             )
 
     lists = rows.groupBy("fonte_id", "ilha", *same).agg(
         F.sort_array(F.collect_list(F.struct(*order, "pagina_inicial", "pagina_final", "texto"))).alias("x")
     )
     schema = (
-        "fonte_id string, ilha long, trecho long, corrida long, k int, ord long, pagina_inicial int, pagina_final int, texto string, "
+        "fonte_id string, ilha long, trecho long, corrida long, k int, ord long, pagina_inicial int, pagina_final int, texto string, juntados int, "
         "parte string, secao string, titulo_secao string, tipo string, descartavel boolean"
     )
     return lists.mapInPandas(run, schema)

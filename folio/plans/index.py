@@ -52,6 +52,11 @@ def content_hash(rows: DataFrame, value: Column, order: str = "ord") -> DataFram
     return above.agg(_joined_hash("c", "h").alias("hash"), F.coalesce(F.sum("n"), F.lit(0)).alias("linhas"))
 
 
+def registry_rows(pieces: DataFrame) -> DataFrame:
+    """What the public registry shows of each piece: labels, digest and length, no text."""
+    return pieces.select(*[c for c in LABELS if c in pieces.columns], digest(F.col("texto")).alias("sha256_texto"), F.length("texto").alias("caracteres"))
+
+
 def commit_name(folder: str = ".") -> str:
     try:
         return subprocess.run(["git", "describe", "--always", "--dirty"], cwd=folder, capture_output=True, text=True, check=True).stdout.strip()
@@ -125,7 +130,7 @@ def build(
     kept.drop("denso").repartitionByRange("ord").sortWithinPartitions("ord").write.mode("overwrite").parquet(f"{folder}/pieces")
     stored = table("pieces")
     build_postings(stored.withColumn("lexico", lexical_text(F.col("legenda"))), "ord", "lexico").write.mode("overwrite").parquet(f"{folder}/postings")
-    stored.select(*[c for c in LABELS if c in stored.columns], digest(F.col("texto")).alias("sha256_texto"), F.length("texto").alias("caracteres")).write.mode("overwrite").json(f"{folder}/registry")
+    registry_rows(stored).write.mode("overwrite").json(f"{folder}/registry")
     stats = corpus_stats(doc_lengths(table("postings"))).first()
     signature = {
         "modelo": model, "digest": model_digest, "servidor": server, "dimensao": dims, "tokenizador": config.TOKENIZER_VERSION, "commit": name, "construido_em": now(),

@@ -13,10 +13,11 @@ from folio.functions import text as tx
 from folio.functions import tokens as tk
 from folio.functions import vectors as vx
 from folio.operators import bm25, boundaries, caption, chunk, dense, fusion, geometry, search, select
+from folio.plans import index
 from folio.plans.index import content_hash
 from folio.sources import blocks as bl
 from folio.session import written
-from folio.sources import manifest
+from folio.sources import cache, manifest
 from folio.sources.tables import read_table as table
 from folio.streaming import runlog
 
@@ -480,18 +481,52 @@ def manifest_problems(spark, d):
     return manifest.problems(table(spark, d, "fonte"))
 
 
-@query(f"with {_P}, {_V} select p.ord, id, substr(sha256(texto), 1, 16) as sha256_texto, length(texto) as caracteres from p where ord not in (select ord from v)")
+@query(
+    rf"""with {_CAPTIONED}, {_V} select ord, id, substr(sha256(texto), 1, 16) as sha256_texto, length(concat_ws(chr(10), nullif({_FRAME}, ''), nullif(legenda, ''), nullif({_strip("coalesce(texto, '')")}, ''))) as caracteres
+    from m where ord not in (select ord from v)"""
+)
 def refused_pieces(spark, d):
-    refused = pieces(spark, d).join(vectors(spark, d).select("ord"), "ord", "left_anti")
-    return refused.select("ord", "id", tx.digest(F.col("texto")).alias("sha256_texto"), F.length("texto").cast("long").alias("caracteres"))
+    """Pieces without a valid vector, with the length of the text that the dense arm embeds."""
+    refused = caption.with_captions(pieces(spark, d)).join(vectors(spark, d).select("ord"), "ord", "left_anti")
+    return refused.select("ord", "id", tx.digest(F.col("texto")).alias("sha256_texto"), F.length(tx.dense_text(F.col("legenda"))).cast("long").alias("caracteres"))
+
+
+_CHAVE = "sha256(concat_ws(chr(0), 'bge-m3', 'd', texto))"
 
 
-@query(f"with {_P}, a as (select distinct sha256_texto as h from achado where sha256_texto is not null and posicao_lexica = 1) select ord, substr(sha256(texto), 1, 16) as h from p where texto is not null and substr(sha256(texto), 1, 16) not in (select h from a)")
+@query(f"with {_P}, {_V}, k as (select ord, {_CHAVE} as chave from p where texto is not null) select ord, chave from k where chave not in (select chave from k where ord in (select ord from v))")
 def cache_misses(spark, d):
-    """Texts whose digest never came first in the lexical arm of a logged search."""
-    seen = table(spark, d, "achado").where("sha256_texto is not null and posicao_lexica = 1").select(F.col("sha256_texto").alias("h")).distinct()
-    rows = pieces(spark, d).where("texto is not null").select("ord", tx.digest(F.col("texto")).alias("h"))
-    return rows.join(seen, "h", "left_anti").select("ord", "h")
+    """Texts that no piece with a valid vector has: what a cache of these vectors lacks."""
+    rows = pieces(spark, d).where("texto is not null").select("ord", "texto")
+    held = rows.join(vectors(spark, d), "ord").select(cache.cache_key(F.col("texto"), "bge-m3", "d").alias("chave"), F.col("vec").alias("vetor"))
+    return cache.split_by_cache(rows, held, "bge-m3", "d")[1].select("ord", "chave")
+
+
+@query(
+    f"""with {_P} select id, fonte_id, parte, secao, titulo_secao, pagina_inicial, pagina_final, tipo, array_to_string(areas, ',') as areas, ano, substr(sha256(texto), 1, 16) as sha256_texto, length(texto)::int as caracteres from p"""
+)
+def public_registry(spark, d):
+    """The registry of all pieces; areas as one text."""
+    return index.registry_rows(pieces(spark, d)).withColumn("areas", F.array_join("areas", ","))
+
+
+@query(
+    f"""with {_P}, r as (select * from p where not coalesce(descartavel, false) and fonte_id not in (select substitui from fonte where substitui is not null)), {_COND.format("r")}
+    select ord, id from r where not exists (select 1 from b where b.fonte_id = r.fonte_id and b.parte = r.parte)"""
+)
+def build_selection(spark, d):
+    """What a build indexes: discardable pieces go first, then superseded sources and excluded blocks."""
+    useful = pieces(spark, d).where(~F.coalesce("descartavel", F.lit(False)))
+    return select.indexable(useful, table(spark, d, "fonte")).select("ord", "id")
+
+
+@query(
+    """select time_bucket(interval '10 minutes', registrado_em) as inicio, count(*) as candidatos, sum(coalesce(garantido, false)::int)::bigint as garantidos
+    from achado where registrado_em is not null group by 1"""
+)
+def searches_per_window(spark, d):
+    """Logged candidates per ten minutes, by the expression that streams use."""
+    return runlog.searches_per_window(table(spark, d, "achado"))
 
 
 _BOXES = [("a", 1, 0, 50, 100, 200), ("a", 1, 300, 50, 400, 80), ("b", 2, 10, 10, 20, 20)]
@@ -551,6 +586,99 @@ def boundary_flags(spark, d):
     )
 
 
+_T = r"regexp_replace(texto, '^\s+|\s+$', '', 'g')"
+_REFS = r"REFER[EÊeê]NCIAS"
+_UP, _LOW = "[A-ZÀ-ÖØ-Þ]", "[a-zà-ÿ]"
+_TITLE = f"({{0}} <> '' and length({{0}}) <= 90 and not regexp_matches({{0}}, '{_LOW}') and regexp_matches({{0}}, '{_UP}'))"
+
+
+@query(
+    rf"""with b as (select distinct fonte_id, ord, texto, {_T} as t from bloco where tipo = 'texto' and texto is not null), s as (select *, {_strip(r"regexp_extract(t, '^[}]\s*([^\n]+)$', 1)")} as u,
+      {_strip(r"case when regexp_matches(t, '^([0-9]+(?:[.][0-9]+)*)[.]\s+([A-Za-zÁÂÃÀÉÊÍÓÔÕÚÜÇáâãàéêíóôõúüç][^\n]*)$') then regexp_extract(t, '^[0-9]+(?:[.][0-9]+)*[.]\s+([A-Za-zÁÂÃÀÉÊÍÓÔÕÚÜÇáâãàéêíóôõúüç][^\n]*)$', 1) else regexp_extract(t, '^[0-9]+(?:[.][0-9]+)*\s+([A-ZÀ-ÖØ-Þ][^a-zà-ÿ.]{3,88})$', 1) end")} as titulo from b)
+    select fonte_id, ord, regexp_matches(t, '^(REFER[EÊ]NCIAS( BIBLIOGR[ÁA]FICAS|\s+BIBLIOGR[ÁA]FICAS)?|BIBLIOGRAFIA)$') as ref,
+      regexp_matches(t, '(?i)^[0-9]+(?:[.][0-9]+)*[.]?\s+({_REFS}(\s+BIBLIOGR[ÁAáa]FICAS)?|BIBLIOGRAFIA)\s*:?$') as ref_num,
+      regexp_matches(titulo, '(?i)^\s*({_REFS}|BIBLIOGRAFIA)([^\pL\pN_]|$)') as descartavel, case when {_TITLE.format("u")} then u end as subtitulo,
+      length(t) >= 4 and not ends_with(t, '.') and {_TITLE.format("t")} as solto from s"""
+)
+def line_kinds(spark, d):
+    """Bibliography headings (bare, numbered, as a numbered title), titles after a brace, and unmarked titles."""
+    rows = table(spark, d, "bloco").where("tipo = 'texto' and texto is not null").select("fonte_id", "ord", "texto").distinct()
+    t = F.col("texto")
+    return rows.select(
+        "fonte_id", "ord", boundaries.opens_bare_references(t).alias("ref"), boundaries.starts_numbered_references(t).alias("ref_num"),
+        F.coalesce(boundaries.is_discardable_title(boundaries.candidate(t)["titulo"]), F.lit(False)).alias("descartavel"),
+        boundaries.subtitle(t).alias("subtitulo"), boundaries.unmarked_title(t).isNotNull().alias("solto"),
+    )
+
+
+@query(
+    rf"""with b as (select fonte_id, ord, max({_T}) as t from bloco where tipo = 'texto' and fonte_id is not null and ord is not null and trim(coalesce(texto, '')) <> '' group by fonte_id, ord),
+    c as (select fonte_id, ord, regexp_extract(t, '^([0-9]+(?:[.][0-9]+)*)[.]?\s', 1) as numero, string_split(numero, '.')::int[] as nivel from b
+      where regexp_matches(t, '^([0-9]+(?:[.][0-9]+)*)[.]\s+[A-Za-zÁÂÃÀÉÊÍÓÔÕÚÜÇáâãàéêíóôõúüç][^\n]*$') or regexp_matches(t, '^([0-9]+(?:[.][0-9]+)*)\s+[A-ZÀ-ÖØ-Þ][^a-zà-ÿ.]{{3,88}}$')),
+    l as (select *, lag(nivel) over (partition by fonte_id order by ord) as antes from c)
+    select fonte_id, ord, numero, case when antes is null then nivel = [1] else nivel = list_append(antes, 1)
+      or (len(nivel) <= len(antes) and nivel[1:len(nivel) - 1] = antes[1:len(nivel) - 1] and nivel[len(nivel)] = antes[len(nivel)] + 1) end as segue from l"""
+)
+def numbering(spark, d):
+    """Numbered titles in reading order, and whether each continues the numbering of the one before."""
+    rows = table(spark, d, "bloco").where("tipo = 'texto' and fonte_id is not null and ord is not null and trim(coalesce(texto, '')) <> ''")
+    rows = rows.groupBy("fonte_id", "ord").agg(F.max(tx.strip(F.col("texto"))).alias("t"))
+    titles = rows.withColumn("c", boundaries.candidate(F.col("t"))).where("c is not null").select("fonte_id", "ord", F.col("c.numero").alias("numero"), boundaries.level(F.col("c.numero")).alias("nivel"))
+    # titles are few; their texts do not go through the window
+    titles = titles.withColumn("antes", F.lag("nivel").over(Window.partitionBy("fonte_id").orderBy("ord")))
+    return titles.select("fonte_id", "ord", "numero", boundaries.follows(F.col("antes"), F.col("nivel")).alias("segue"))
+
+
+@query(f"with {_P} select ord, sha256({_HEADER} || chr(10) || chr(10) || texto) as ancorado from p where texto is not null")
+def anchored_text(spark, d):
+    return pieces(spark, d).where("texto is not null").select("ord", F.sha2(tx.anchored().cast("binary"), 256).alias("ancorado"))
+
+
+_PARAGRAPHS = """p as (select doc_id, row_number() over (partition by doc_id order by i) as i, n from (select doc_id, unnest(list_transform(a, lambda x: length(x))) as n, unnest(range(len(a))) as i
+      from (select distinct doc_id, string_split(text, chr(10)) as a from documents where text is not null)) where n > 0),
+    g as (select doc_id, i, n, 0 as k, n + 1 as used from p where i = 1
+      union all select p.doc_id, p.i, p.n, case when g.used + p.n + 1 > 1800 then g.k + 1 else g.k end, case when g.used + p.n + 1 > 1800 then p.n + 1 else g.used + p.n + 1 end
+      from g join p on p.doc_id = g.doc_id and p.i = g.i + 1)"""
+
+
+@query(
+    f"""with recursive {_PARAGRAPHS}, s as (select *, sum(n) over w + count(*) over w - 1 as fim, max(k) over (partition by doc_id) as ultimo from g window w as (partition by doc_id order by i desc)),
+    a as (select doc_id, min(i) filter (k = ultimo) as inicio, min(i) filter (k = ultimo - 1) as primeiro, min(fim) filter (k = ultimo) as x, max(ultimo) as ultimo from s group by doc_id),
+    t as (select doc_id, max(fim) filter (k = ultimo) as resto from s group by doc_id),
+    f as (select s.doc_id, max(s.i) as de from s join a using (doc_id) join t using (doc_id) where a.ultimo > 0 and t.resto < 120 and s.i > a.primeiro and s.i < a.inicio and s.fim >= 120 group by s.doc_id),
+    ok as (select f.doc_id, f.de from f join s on s.doc_id = f.doc_id and s.i = f.de where s.fim <= 1800),
+    r as (select s.doc_id, s.i, s.n, case when ok.de is not null and s.i >= ok.de then s.ultimo else s.k end as grupo from s left join ok using (doc_id))
+    select doc_id, grupo::int as grupo, count(*) as paragrafos, sum(n)::bigint + count(*) - 1 as tamanho from r group by doc_id, grupo"""
+)
+def lifted_packing(spark, d):
+    """Paragraphs of each document packed as the chunker does: greedily, then a short last group is lifted."""
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text").distinct()
+    docs = docs.withColumn("s", F.filter(F.transform(F.split("text", "\n"), F.length), lambda n: n > 0))
+    rows = docs.select("doc_id", F.explode(F.arrays_zip(F.col("s").alias("n"), chunk.pack_lifted(F.col("s")).alias("k"))).alias("x"))
+    return rows.groupBy("doc_id", F.col("x.k").alias("grupo")).agg(F.count("*").alias("paragrafos"), (F.sum("x.n") + F.count("*") - 1).alias("tamanho"))
+
+
+_JOINED = f"""{_P}, o as (select *, length(texto) as n, row_number() over w as i, lag(struct_pack(a := tipo, b := descartavel, c := coalesce(parte, ''), d := coalesce(secao, ''), e := coalesce(titulo_secao, ''))) over w as antes,
+      struct_pack(a := tipo, b := descartavel, c := coalesce(parte, ''), d := coalesce(secao, ''), e := coalesce(titulo_secao, '')) as agora from p where texto is not null window w as (partition by fonte_id order by ord)),
+    j as (select fonte_id, i, ord, n, pagina_final, agora, ord as cabeca, n as total, 1 as novo from o where i = 1
+      union all select o.fonte_id, o.i, o.ord, o.n, o.pagina_final, o.agora, case when same then j.cabeca else o.ord end, case when same then j.total + o.n + 1 else o.n end, case when same then 0 else 1 end
+      from (select o.*, j.cabeca as jc, j.total as jt, j.agora = o.agora and j.total < 120 and j.total + o.n + 1 <= 1800 as same from j join o on o.fonte_id = j.fonte_id and o.i = j.i + 1) o join j on j.fonte_id = o.fonte_id and j.i = o.i - 1)"""
+
+
+@query(
+    f"""with recursive {_JOINED}, h as (select fonte_id, cabeca as ord, max(total) as caracteres, max(pagina_final) as pagina_final, any_value(agora) as rotulo, count(*) as juntados from j group by fonte_id, cabeca),
+    l as (select *, lag(rotulo) over (partition by fonte_id order by ord) as antes from h)
+    select fonte_id, ord, caracteres::int as caracteres, pagina_final, juntados from l where caracteres >= 120 or rotulo.a = 'tabela'
+      or ((antes is null or (antes.c, antes.d, antes.e) <> (rotulo.c, rotulo.d, rotulo.e)) and (rotulo.d <> '' or rotulo.e <> ''))"""
+)
+def joined_pieces(spark, d):
+    """All pieces taken as the chunker's output before its last steps: short ones joined, then what is below the floor dropped."""
+    rows = pieces(spark, d).where("texto is not null").fillna("", ["parte", "secao", "titulo_secao"])
+    rows = rows.withColumns({"trecho": F.lit(0).cast("long"), "corrida": F.lit(0).cast("long"), "k": F.lit(0)})
+    got = chunk.keep_floor(chunk.join_short(rows))
+    return got.select("fonte_id", "ord", F.length("texto").alias("caracteres"), "pagina_final", "juntados")
+
+
 @query()
 def chunk_blocks(spark, d):
     return chunk.chunk(table(spark, d, "bloco"), table(spark, d, "fonte"))
