@@ -451,10 +451,19 @@ def shared_by_force(docs, n):
     return pairs, cover
 
 
-@pytest.mark.parametrize("bits", [None, 1 << 9])
-def test_shared_spans(spark, bits, monkeypatch):
-    if bits:  # a small bitmap: the same result in several passes
+def test_window_and_block_hashes():
+    t = "ação 😀 " * 40
+    h = shared_spans.window_hashes(t, 16)
+    assert len(h) == len(t) - 15 and (shared_spans.block_hashes(t, 16) == h[::16][: len(t) // 16]).all()
+    assert h[0] == h[7] == shared_spans.window_hashes("x" + t[:16], 16)[1] != h[1]
+    assert len(shared_spans.window_hashes("abc", 4)) == len(shared_spans.block_hashes("", 4)) == 0
+
+
+@pytest.mark.parametrize("passes", [None, 4, 1])
+def test_shared_spans(spark, passes, monkeypatch):
+    if passes:  # small bitmaps: the same result in several passes, and by the join
         monkeypatch.setattr(shared_spans, "MOST_BITS", 1 << 14)
+        monkeypatch.setattr(shared_spans, "MOST_PASSES", passes)
     rng = random.Random(7)
     text = lambda n: "".join(rng.choice("abcdefgé😀 ") for _ in range(n))
     base = [text(rng.randint(30, 150)) for _ in range(8)]
