@@ -122,4 +122,5 @@ def pack_texts(
         )
 
     dealt = items.withColumn("g", F.pmod(F.xxhash64(key, "parte"), F.lit(groups)).cast("int"))
-    return dealt.groupBy("g").applyInPandas(fill, f"{key} {kind}, parte long, inicio long, tokens long, recipiente string, custo double")
+    # a stated number of partitions, so that small groups are not put into one task
+    return dealt.repartition(groups, "g").groupBy("g").applyInPandas(fill, f"{key} {kind}, parte long, inicio long, tokens long, recipiente string, custo double")

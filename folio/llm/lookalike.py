@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folio.session import written
+
 # Cyrillic and Greek letters drawn like Latin ones, and the Latin letters they look like.
 LETTERS = {
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X",
@@ -134,7 +136,8 @@ def lookalike_pairs(df: DataFrame, key: str, text: str, parts: int = 8) -> DataF
     A class with a single spelling drops out before any pair is made; the pairs of a class are made
     in parts x parts blocks, so that no task gets a whole class.
     """
-    rows = form_classes(df, key, text).withColumn("parte", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+    classes = written(form_classes(df, key, text), "forms")  # read three times
+    rows = classes.withColumn("parte", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
     several = rows.groupBy("classe").agg(F.min("grafia").alias("a"), F.max("grafia").alias("b")).where("a <> b")
     several = several.select("classe", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("parte"))
     rows = rows.join(several, ["classe", "parte"])

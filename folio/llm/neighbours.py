@@ -138,8 +138,9 @@ def search(reps: DataFrame, dims: int, k: int, probes: int, subspaces: int = 8,
         return spark.createDataFrame([], "q long, e long, cos double")
     lists = int(min(MOST_LISTS, 4 * total**0.5, max(1, total // 8)))
     want = min(total, SAMPLE, max(4096, 40 * lists))
-    # hash order: the same rows whatever the partitioning, and at most `want` of them
-    sample = reps.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) <= int((1 << 20) * min(1.0, 1.2 * want / total))).select("vec").limit(want)
+    # in hash order: the same rows whatever the partitioning, and at most `want` of them
+    sample = reps.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) <= int((1 << 20) * min(1.0, 1.2 * want / total)))
+    sample = sample.orderBy(F.xxhash64("key"), "key").limit(want).select("vec")
     x = unit(matrix(sample.toPandas()["vec"]))
     coarse = kmeans(x, lists)
     residual = x - coarse[nearest(x, coarse, 1)[:, 0]]
@@ -165,18 +166,13 @@ def search(reps: DataFrame, dims: int, k: int, probes: int, subspaces: int = 8,
     home = F.element_at("near", 1)
     # length and radius of each list: at most MOST_LISTS rows
     about = filed.groupBy(home.alias("l")).agg(F.count("*").alias("n"), F.max("away").alias("r")).collect()
-    blocks = {r.l: -(-r.n // BLOCK) for r in about}
-    several = {l: n for l, n in blocks.items() if n > 1}
-    count = F.lit(1)
-    if several:
-        pairs = F.create_map(*[F.lit(int(x)) for kv in several.items() for x in kv])
-        count = lambda l: F.coalesce(F.try_element_at(pairs, l), F.lit(1))
-    else:
-        count = lambda l: F.lit(1)
-    entries = filed.select(home.alias("l"), F.pmod(F.xxhash64("key"), count(home)).cast("int").alias("b"), "key", "v", "codes", "err")
+    # at most MOST_LISTS rows: how many blocks each list is cut into
+    blocks = F.broadcast(spark.createDataFrame([(r.l, -(-r.n // BLOCK)) for r in about], "l int, blocks int"))
+    entries = filed.withColumn("l", home).join(blocks, "l")
+    entries = entries.select("l", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("b"), "key", "v", "codes", "err")
     # other names than in entries: cogroup merges columns that both sides take from one table
-    asked = filed.select(F.col("key").alias("qkey"), F.col("v").alias("qv"), F.explode("near").alias("ql"))
-    asked = asked.select("ql", F.explode(F.sequence(F.lit(0), count(F.col("ql")) - 1)).alias("qb"), "qkey", "qv")
+    asked = filed.select(F.col("key").alias("qkey"), F.col("v").alias("qv"), F.explode("near").alias("l")).join(blocks, "l")
+    asked = asked.select(F.col("l").alias("ql"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("qb"), "qkey", "qv")
 
     def score(entries: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"q": np.zeros(0, "i8"), "e": np.zeros(0, "i8"), "cos": np.zeros(0)})

@@ -113,18 +113,48 @@ _LOW = "case when {0} is null or {0}::varchar = 'nan' then '-infinity'::double e
 # two-character columns keep the lists of characters readable in pairs
 _FULL = "".join(map(chr, range(0xFF01, 0xFF5F)))
 _PLAIN = "".join(map(chr, range(0x21, 0x7F)))
-_LETTERS = lookalike.LETTERS
+# typed here on their own, not taken from the operator that they check: Cyrillic, then Greek
+_ALIKE = "АВЕКМНОРСТУХІЈЅԚԜҮӀаеорсухіјѕһԁԛԝѵӏ" + "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονιϲϳϹͿ"
+_LATIN = "ABEKMHOPCTYXIJSQWYIaeopcyxijshdqwvl" + "ABEZHIKMNOPTYXovicjCJ"
 _FORM = (
     "nfc_normalize(translate(translate(translate(translate(replace(replace(texto, 'ﬁ', 'fi'), 'ﬂ', 'fl'), "
     f"'​‌‍⁠﻿­', ''), '{_FULL.replace(chr(0xFF07), '')}µ²³¹ºª', '{_PLAIN.replace(chr(39), '')}μ231oa'), "
-    f"'{''.join(_LETTERS)}', '{''.join(_LETTERS.values())}'), "
+    f"'{_ALIKE}', '{_LATIN}'), "
     "'\t    　‐‑‒–−', '      -----'))"
 )
 _WORDS = "regexp_extract_all(lower(strip_accents(translate(text, '²³¹ºª', '231oa'))), '[a-z0-9]+')"
 
 
+# cutting by position: the longest prefix of the window before a line end, else after a sentence end, else before a space
+_BLANK = r"[\t\v\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_SPACE = _BLANK[:1] + r"\n" + _BLANK[1:]
+_CUT = rf"""with recursive t as (select distinct ord, id, secao, texto from pedaco where texto is not null and texto <> ''),
+    c as (select *, 0 as n, 1 as p, 0 as l, -1 as k, 1 as proximo from t
+      union all select ord, id, secao, texto, n + 1, proximo, l, k, proximo + l + length(regexp_extract(substr(texto, proximo + l), '^{_BLANK}*\n?')) from
+        (select ord, id, secao, texto, n, proximo, case when resto <= lim then resto when a <> '' then length(a) when b <> '' then length(b) when e <> '' then length(e) else lim end as l,
+           case when resto <= lim or a <> '' then 0 when b <> '' then 1 when e <> '' then 2 else 3 end as k from
+          (select *, regexp_extract(w, '(?s)^(.+)\n', 1) as a, regexp_extract(w, '(?s)^(.*[.!?]){_SPACE}', 1) as b, regexp_extract(w, '(?s)^(.+){_SPACE}', 1) as e from
+            (select *, length(texto) - proximo + 1 as resto, case when n = 0 then 1800 else 1600 end as lim, substr(texto, proximo, case when n = 0 then 1801 else 1601 end) as w from c where proximo <= length(texto))))),
+    o as (select *, p - 1 as s, substr(texto, greatest(p - 201, 0) + 1, least(p - 1, 200)) as antes from c where n > 0 and regexp_matches(substr(texto, p, l), '[^' || '{_SPACE[1:]}')),
+    q as (select *, case when s > 200 and not regexp_matches(substr(texto, s - 200, 1), '{_SPACE}') then regexp_replace(antes, '^[^' || '{_SPACE[1:]}' || '+{_SPACE}', '') else antes end as volta from o)
+    select ord, id, secao, n - 1 as n, s - length(volta) as inicio, volta || substr(texto, p, l) as texto, ['paragrafo', 'frase', 'espaco', 'nenhum'][k + 1] as corte from q"""
+# every window of 200 characters by its MD5 (hash() takes near-copies for equal), in stretches of 500 places so that no long text is counted through again
+_WINDOWS = """d as (select distinct doc_id, text from documents where doc_id is not null and length(text) >= 200),
+    s as (select doc_id, 500 * c as o, substr(text, 500 * c + 1, 699) as x from (select doc_id, text, unnest(range((length(text) + 499) // 500)) as c from d)),
+    w as (select doc_id, o + j as i, md5_number(substr(x, j, 200)) as h from (select *, unnest(range(1, least(500, length(x) - 199) + 1)) as j from s where length(x) >= 200)),
+    g as (select h from w group by h having min(doc_id) <> max(doc_id)), m as (select w.* from w join g using (h))"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_neighbours": f"with {_NEAR} select ord, vizinho, round(cosseno, 6) as cosseno, posicao::int as posicao from r where posicao <= 5",
+        "p5_pieces": _CUT,
+        "p7_classes": f"with t as (select distinct ord, texto from pedaco where ord is not null and texto is not null) select ord, sha256({_FORM}) as classe, sha256(texto) as grafia from t",
+        "p10_found": f"with {_WINDOWS} select distinct a.doc_id as doc_a, b.doc_id as doc_b from m a join m b on a.h = b.h and a.doc_id < b.doc_id",
+        "p10_coverage": f"""with {_WINDOWS}, p as (select distinct doc_id, i from m), l as (select doc_id, i, lag(i) over (partition by doc_id order by i) as j from p),
+            c as (select doc_id, sum((j is null or i > j + 200)::int)::bigint as trechos, sum(least(200, coalesce(i - j, 200)))::bigint as compartilhado from l group by doc_id)
+            select t.doc_id, t.n_chars, coalesce(trechos, 0) as trechos, coalesce(compartilhado, 0) as compartilhado, case when t.n_chars > 0 then round(coalesce(compartilhado, 0) / t.n_chars, 6) else 0.0 end as parte
+            from (select distinct doc_id, length(text) as n_chars from documents where doc_id is not null) t left join c using (doc_id)""",
         "p2_found": f"with {_NEAR} select distinct least(ord, vizinho) as ord_a, greatest(ord, vizinho) as ord_b from r where posicao <= 5 and cosseno >= 0.92",
         "p3_found": f"with {_COUNTING}, t as (select term, sum(tf) as n from c group by term) "
         "select doc_ord, term from c join t using (term) where tf >= 3 and 2 * tf >= n",
