@@ -3,26 +3,31 @@
 Every line of a source is labelled as running line (cabecalho), page number (pagina), body (corpo)
 or break (quebra: a heading, a list item or the first line of a paragraph) by the Viterbi path of a
 hidden Markov model. Its observations are layout features: likeness to what the source prints on
-its pages, shape and value of a page number, place on the page, and how the line opens after the
-one before. The model starts from stated tables and is refined by expectation-maximisation on a
-bounded sample (SAMPLE segments). Words cut at line ends and misread words are then settled by the
-words of the whole collection, and paragraphs are put together again.
+many of its pages, shape and value of a page number, place on the page, and how the line opens after
+the one before. What a source prints on its pages is found by repetition: forms (parts of a line
+between rules, letters only) that open or close at least REPEATED of its pages and three of them,
+besides its title and organ where these are known; likeness is the built-in edit distance to them.
+
+The model starts from stated tables and is refined by expectation-maximisation over all segments:
+each round sums expected counts over all of them. Words cut at line ends and misread words are then
+settled by the words of the whole collection, and paragraphs are put together again.
 
 A source is worked off in segments of SEGMENT places of the reading order, each with HALO places of
 its neighbours, so the largest source is split like any other. Repeated rows meet in their segment
 and count once. A misread word is one whose strokes (what scanning confuses is one stroke: rn and m,
-0 and o, c and e, ...) are those of a word RATIO times as frequent: one aggregation over words.
+0 and o, c and e, ...) are those of a word RATIO times as frequent: one aggregation over words. A word
+with a sign that hides a character is read as the most frequent word that fits around the sign.
 
 Defined cases: blocks with null source, place or kind are dropped; null and blank texts have no
 line; a null page takes its neighbours' page; blocks of kind 'tabela' are left out; sources without
-a row of their own have no known running lines and keep repeated lines as body.
+a row of their own have the running lines that repetition shows; a paragraph that goes on for more
+than LONGEST places comes in several rows (parte).
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,11 +36,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folio.session import written
+from folio.session import discard, written
 
-SEGMENT, HALO = 256, 64
-SAMPLE = 300  # segments that the model is refined on, at most
+SEGMENT, HALO = 2048, 64
+CHUNK = 256  # lines that a path is sought for at a time, with HALO lines on either side
+LONGEST = 8192  # places of a paragraph in one row
+REPEATED = 0.1  # share of a source's pages that a running line opens or closes
+ROUNDS, PRIOR = 3, 5000.0  # of the refinement; the starting tables weigh as so many observations of each state
 RATIO = 20
+SENT_OUT = 100_000  # rows that a table may have to be sent to every task
 STATES = ["cabecalho", "pagina", "corpo", "quebra"]
 HYPHENS = "-‐‑­¬"
 
@@ -48,6 +57,7 @@ START = {
 }
 MOVES = [[0.02, 0.08, 0.60, 0.30], [0.60, 0.02, 0.28, 0.10], [0.03, 0.03, 0.79, 0.15], [0.02, 0.02, 0.86, 0.10]]
 FEATURES = list(START)
+LOWER_ENDS = frozenset("abcdefghijklmnopqrstuvwxyzáâãàéêíóôõúüç.;")  # no heading in capitals ends so
 
 _ROMAN = re.compile(r"[ivxlc]+\Z", re.I)
 _DIGIT = "0-9oOlIiZzSsBbGqg"  # digits and the letters they are misread as
@@ -57,51 +67,59 @@ _NUMBER = re.compile(
 _AS_DIGIT = str.maketrans("oOlIiZzSsBbGqg", "00111225588699"[:14])
 _HEADING = re.compile(r"(?:\d+(?:\.\d+)*\.?\s+)?[A-ZÀ-Þ][A-ZÀ-Þ\s,:()\-]{3,88}\Z")
 _BULLET = re.compile(r"\s*[•▪‣\-–]\s")
-_EDGE = re.compile(rf"\A\s*(?:[{_DIGIT}]{{1,4}}|[ivxlc]+)\s+(?=\S{{3,}})|[\s|,/·—-]+(?:[{_DIGIT}]{{1,4}}|[ivxlc]+)\s*\Z")
+_EDGE = rf"\A\s*(?:[{_DIGIT}]{{1,4}}|[ivxlc]+)\s+(?=\S{{3,}})|[\s|,/·—-]+(?:[{_DIGIT}]{{1,4}}|[ivxlc]+)\s*\z"
 
 
-def letters(s: str) -> str:
+def letters(c: Column) -> Column:
     """Lower-case letters and single spaces: what is compared of a running line."""
-    return re.sub(r"[^a-zà-ÿ]+", " ", s.lower()).strip()
-
-
-def distance(a: str, b: str, most: int) -> int:
-    """Edit distance, or most + 1 as soon as it must be larger."""
-    if abs(len(a) - len(b)) > most or sum((Counter(a) - Counter(b)).values()) > most or sum((Counter(b) - Counter(a)).values()) > most:
-        return most + 1
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row = row, [i]
-        for j, y in enumerate(b, 1):
-            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
-        if min(row) > most:
-            return most + 1
-    return row[-1]
-
-
-def running_likeness(line: str, title: str | None, body: str | None) -> int:
-    """2: the line is what the source prints on its pages (title, organ, both, a heading with the organ), give or
-    take one character in ten; 1: one in five; 0: it is not."""
-    if len(line) > 160 or not line.strip():
-        return 0
-    title, body = letters(title or ""), letters(body or "")
-    bare = {letters(x) for x in (line, _EDGE.sub("", line), _EDGE.sub("", _EDGE.sub("", line)))} - {""}
-    forms = {title, body, f"{body} edição de", f"{title} edição de", f"{body} {title}", f"{title} {body}"} - {""}
-    best = 0
-    for b in bare:
-        if b in forms:
-            return 2
-        for f in forms:
-            if len(f) >= 6:
-                d = distance(b, f, max(1, len(f) // 5))
-                best = max(best, 2 if d <= max(1, len(f) // 10) else 1 if d <= max(1, len(f) // 5) else 0)
-        if body and len(body) >= 6 and re.search(r"[—–|·]", line):
-            # a heading, then the organ
-            tail = letters(re.split(r"[—–|·]", _EDGE.sub("", line))[-1])
-            d = distance(tail, body, max(1, len(body) // 5))
-            if line[:1].isupper() or not line[:1].isalpha():
-                best = max(best, 2 if d <= max(1, len(body) // 10) else 1 if d <= max(1, len(body) // 5) else 0)
-    return best
+    return F.trim(F.regexp_replace(F.lower(c), "[^a-zà-ÿ]+", " "))
+
+
+def whole_form(line: Column) -> Column:
+    """The letters of a line without the page number at either end."""
+    return letters(F.regexp_replace(F.regexp_replace(line, _EDGE, ""), _EDGE, ""))
+
+
+def line_forms(line: Column) -> Column:
+    """array<string>: the letters of the line and of its parts between rules, without page numbers at either end."""
+    parts = F.transform(F.split(line, r"\s*[—–|·]\s*|\s-\s"), lambda x: letters(F.regexp_replace(x, _EDGE, "")))
+    return F.array_distinct(F.filter(F.concat(F.array(letters(line), whole_form(line)), parts), lambda x: F.length(x) >= 6))
+
+
+def running_forms(rows: DataFrame, fonte: DataFrame) -> DataFrame:
+    """(fonte_id, formas, maior): what each source prints on its pages, and the length of the longest form."""
+    line = F.struct("ord", "linha")
+    number, section = r"(?iU)\A" + _NUMBER.pattern.replace("?P<", "?<"), r"\A\s*\d+(?:\.\d+)*\.\s"
+    lines = rows.where((F.length(letters(F.col("linha"))) >= 6) & ~F.col("linha").rlike(number) & ~F.col("linha").rlike(section))
+    pages = lines.where("pagina is not null").groupBy("fonte_id", "pagina").agg(F.min(line).alias("a"), F.max(line).alias("b"))
+    sizes = pages.groupBy("fonte_id").agg(F.count("*").alias("paginas"))
+    edge = pages.select("fonte_id", "pagina", F.explode(F.array_distinct(F.array("a.linha", "b.linha"))).alias("linha"))
+    edge = written(edge.select("fonte_id", "pagina", "linha", F.explode(line_forms(F.col("linha"))).alias("forma")), "edges")
+    # of each line only the part that the source prints on most pages counts: a heading beside it is none
+    counts = edge.groupBy("fonte_id", "forma").agg(F.countDistinct("pagina").alias("n"))
+    chosen = edge.join(counts, ["fonte_id", "forma"]).groupBy("fonte_id", "pagina", "linha").agg(F.max(F.struct("n", F.length("forma").alias("m"), "forma")).alias("x"))
+    # and the line as a whole, should the rule between its parts be misread
+    whole = chosen.select("fonte_id", "pagina", whole_form(F.col("linha")).alias("forma"))
+    chosen = chosen.select("fonte_id", "pagina", "x.forma").unionByName(whole.where(F.length("forma") >= 6))
+    often = chosen.groupBy("fonte_id", "forma").agg(F.countDistinct("pagina").alias("n")).join(sizes, "fonte_id")
+    often = written(often.where((F.col("n") >= 3) & (F.col("n") >= REPEATED * F.col("paginas"))).select("fonte_id", "forma", "n"), "often")
+    # what stands within pages more often than at their edges is text that repeats
+    most, few = often.agg(F.max(F.length("forma")), F.count("*")).first()
+    every = lines.where(F.length("linha") <= 2 * (most or 0)).select("fonte_id", whole_form(F.col("linha")).alias("forma"))
+    inside = every.join(F.broadcast(often) if few <= SENT_OUT else often, ["fonte_id", "forma"]).groupBy("fonte_id", "forma", "n").agg(F.count("*").alias("m"))
+    often = often.join(inside.where("m > 2 * n"), ["fonte_id", "forma"], "left_anti").select("fonte_id", "forma")
+    names = fonte.where("id is not null").select(F.col("id").alias("fonte_id"), F.explode(F.array(letters(F.col("titulo")), letters(F.col("orgao")))).alias("forma"))
+    every = often.unionByName(names.where(F.length("forma") >= 6)).groupBy("fonte_id").agg(F.collect_set("forma").alias("formas"))
+    # a form is on a tenth of the pages at least and a page has few: the array is short
+    return every.withColumn("maior", F.array_max(F.transform("formas", F.length)))
+
+
+def likeness(line: Column, forms: Column, longest: Column) -> Column:
+    """2: a part of the line is a form, give or take one character in ten; 1: one in five; 0: it is not."""
+    near = lambda k: F.exists(
+        "_l", lambda x: F.exists(forms, lambda f: (F.abs(F.length(x) - F.length(f)) <= F.length(f) / k) & (F.levenshtein(x, f) <= F.floor(F.length(f) / k)))
+    )
+    return F.when(F.col("_l").isNull() | forms.isNull(), 0).when(near(10), 2).when(near(5), 1).otherwise(0)
 
 
 def roman(s: str) -> int:
@@ -112,7 +130,7 @@ def roman(s: str) -> int:
 def page_number(text: str, page: float | None) -> int:
     """2: only a page number, that of the page; 1: only something shaped like one; 0: neither."""
     t = text.strip()
-    if not t or len(t) > 24 or "\n" in t or t.endswith((".", ",", "%")):
+    if not t or "\n" in t or t.endswith((".", ",", "%")):
         return 0
     m = _NUMBER.match(t)
     if not m or not m["n"] or (m["n"].isalpha() and not _ROMAN.match(m["n"]) and not re.search(r"[\d\W]", t)):
@@ -129,33 +147,30 @@ def page_number(text: str, page: float | None) -> int:
     return 1 if re.search(r"\d", n) or _ROMAN.match(n) or re.search(r"[-—|\[\]/]", t) else 0
 
 
-def observe(seg: pd.DataFrame, title: str | None, body: str | None) -> pd.DataFrame:
-    """Lines (ord, n, texto, pagina + features) of a segment's text blocks in reading order."""
-    rows = []
+def observe(seg: pd.DataFrame) -> pd.DataFrame:
+    """Lines (ord, n, texto, features) of a segment's text blocks in reading order."""
     pages = seg.pagina.ffill().bfill().to_numpy()
-    texts, ords = seg.texto.to_numpy(), seg.ord.to_numpy()
+    texts, ords, likes = seg.texto.to_numpy(), seg.ord.to_numpy(), seg.like.to_numpy()
     change = np.flatnonzero(np.concatenate([[True], pages[1:] != pages[:-1]])) if len(pages) else np.zeros(0, int)
-    first = np.repeat(change, np.diff(np.append(change, len(pages))))
-    last = np.repeat(np.append(change[1:], len(pages)) - 1, np.diff(np.append(change, len(pages))))
-    ended = True
-    for k, t in enumerate(texts):
-        off = min(k - first[k], last[k] - k)
-        number = page_number(t, pages[k])
-        for n, line in enumerate(t.split("\n")):
+    size = np.diff(np.append(change, len(pages)))
+    first, last = np.repeat(change, size), np.repeat(change + size - 1, size)
+    offs = np.minimum(np.arange(len(pages)) - first, last - np.arange(len(pages)))
+    places = np.where(offs == 0, 1, np.where(offs == 1, 2, 0))
+    ended, rows = True, []
+    for ord_, t, page, like0, place in zip(ords.tolist(), texts.tolist(), pages.tolist(), likes.tolist(), places.tolist()):
+        for n, line in enumerate(t.split("\n") if "\n" in t else (t,)):
             s = line.strip()
             if not s:
                 continue
-            like = running_likeness(s, title, body) if n == 0 or off <= 2 else 0
-            num = number if n == 0 else 0
-            if _HEADING.match(s) or _BULLET.match(line):
+            like, num = (like0, page_number(t, page)) if n == 0 else (0, 0)
+            heading = len(s) <= 106 and s[-1] not in LOWER_ENDS and _HEADING.match(s) is not None
+            if heading or _BULLET.match(line):
                 opening = 2
-            elif ended and (s[0].isupper() or s[0].isdigit() or not s[0].isalnum()):
-                opening = 1
             else:
-                opening = 0
-            rows.append((ords[k], n, line, like, num, 1 if off == 0 else 2 if off == 1 else 0, opening))
+                opening = 1 if ended and (s[0].isupper() or s[0].isdigit() or not s[0].isalnum()) else 0
+            rows.append((ord_, n, line, like, num, place, opening))
             if like < 2 and num == 0:
-                ended = s.endswith((".", "!", "?", ":")) or opening == 2 and not s.endswith(tuple(HYPHENS)) and bool(_HEADING.match(s))
+                ended = s[-1] in ".!?:" or heading and s[-1] not in HYPHENS
     return pd.DataFrame(rows, columns=["ord", "n", "texto", *FEATURES])
 
 
@@ -167,61 +182,90 @@ def log_emissions(obs: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
     return sum(t[:, obs[:, k]].T for k, t in enumerate(tables))
 
 
+def _chunks(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, own): for each chunk the places of its lines with HALO on either side (-1 beyond the ends), and which are its own."""
+    starts = np.arange(0, n, CHUNK)[:, None]
+    at = starts + np.arange(-HALO, CHUNK + HALO)
+    own = (np.arange(at.shape[1]) >= HALO) & (np.arange(at.shape[1]) < HALO + CHUNK) & (at < n)
+    return np.where((at >= 0) & (at < n), at, -1), own
+
+
 def viterbi(obs: np.ndarray, model: dict) -> np.ndarray:
-    """The most probable states of a sequence of feature rows."""
+    """The most probable states of a sequence of feature rows: by chunks with a halo, all chunks at a time."""
     if not len(obs):
         return np.zeros(0, int)
     tables, moves = log_tables(model)
-    e = log_emissions(obs, tables)
-    back = np.zeros(e.shape, int)
-    score = e[0] + np.log(1 / len(moves))
-    for i in range(1, len(e)):
-        to = score[:, None] + moves
-        back[i] = to.argmax(0)
-        score = to.max(0) + e[i]
-    path = [int(score.argmax())]
-    for i in range(len(e) - 1, 0, -1):
-        path.append(int(back[i, path[-1]]))
-    return np.array(path[::-1])
-
-
-def refine(sequences: list[np.ndarray], rounds: int = 3, prior: float = 5000.0) -> dict:
-    """Baum-Welch from the starting tables, which weigh as `prior` observations of each state."""
-    model = {f: np.asarray(START[f]) for f in FEATURES} | {"moves": np.asarray(MOVES)}
-    for _ in range(rounds):
-        counts = {f: prior * np.asarray(START[f]) for f in FEATURES}
-        moves = prior * np.asarray(MOVES)
-        for obs in sequences:
-            if len(obs) < 2:
-                continue
-            tables, lm = log_tables(model)
-            e = log_emissions(obs, tables)
-            e = np.exp(e - e.max(1, keepdims=True))
-            m = np.exp(lm)
-            a, b = np.zeros_like(e), np.ones_like(e)
-            a[0] = e[0] / e[0].sum()
-            for i in range(1, len(e)):
-                a[i] = (a[i - 1] @ m) * e[i]
-                a[i] /= a[i].sum()
-            for i in range(len(e) - 2, -1, -1):
-                b[i] = m @ (b[i + 1] * e[i + 1])
-                b[i] /= b[i].sum()
-            g = a * b
-            g /= g.sum(1, keepdims=True)
-            x = a[:-1, :, None] * m * (e[1:] * b[1:])[:, None, :]
-            moves += (x / x.sum((1, 2), keepdims=True)).sum(0)
-            for k, f in enumerate(FEATURES):
-                for v in range(counts[f].shape[1]):
-                    counts[f][:, v] += g[obs[:, k] == v].sum(0)
-        model = {f: c / c.sum(1, keepdims=True) for f, c in counts.items()} | {"moves": moves / moves.sum(1, keepdims=True)}
-    return {k: np.maximum(v, 1e-6).tolist() for k, v in model.items()}
+    at, own = _chunks(len(obs))
+    e = np.where((at >= 0)[:, :, None], log_emissions(obs, tables)[at], 0.0)
+    # where there is no line the state stays as it is and nothing is added
+    stay = np.where(np.eye(len(moves)) > 0, 0.0, -1e9)
+    back = np.zeros(e.shape, "i1")
+    score = e[:, 0] + np.log(1 / len(moves))
+    for i in range(1, e.shape[1]):
+        none = (at[:, i] < 0) | (at[:, i - 1] < 0)
+        to = score[:, :, None] + np.where(none[:, None, None], stay, moves)
+        back[:, i] = to.argmax(1)
+        score = to.max(1) + e[:, i]
+    every = np.arange(len(at))
+    state, path = score.argmax(1), np.zeros(at.shape, int)
+    for i in range(e.shape[1] - 1, -1, -1):
+        path[:, i] = state
+        state = back[every, i, state]
+    return path[own]
+
+
+def expected_counts(sequences: list[np.ndarray], model: dict) -> dict:
+    """Expected observations of each state and moves between states (Baum-Welch), over chunks of all sequences at a time."""
+    counts = {f: np.zeros(np.shape(START[f])) for f in FEATURES} | {"moves": np.zeros(np.shape(MOVES))}
+    parts = [s[i : i + CHUNK] for s in sequences for i in range(0, len(s), CHUNK) if len(s) - i > 1]
+    if not parts:
+        return counts
+    tables, lm = log_tables(model)
+    m, size = np.exp(lm), np.array([len(p) for p in parts])
+    obs = np.zeros((len(parts), CHUNK, len(FEATURES)), int)
+    for k, p in enumerate(parts):
+        obs[k, : len(p)] = p
+    there = np.arange(CHUNK) < size[:, None]
+    e = log_emissions(obs.reshape(-1, len(FEATURES)), tables).reshape(len(parts), CHUNK, -1)
+    e = np.where(there[:, :, None], np.exp(e - e.max(2, keepdims=True)), 1.0)
+    a, b = np.ones_like(e), np.ones_like(e)
+    a[:, 0] = e[:, 0] / e[:, 0].sum(1, keepdims=True)
+    for i in range(1, CHUNK):
+        a[:, i] = (a[:, i - 1] @ m) * e[:, i]
+        a[:, i] /= a[:, i].sum(1, keepdims=True)
+    for i in range(CHUNK - 2, -1, -1):
+        x = np.where(there[:, i + 1, None], (b[:, i + 1] * e[:, i + 1]) @ m.T, 1.0)
+        b[:, i] = x / x.sum(1, keepdims=True)
+    g = a * b
+    g = g / g.sum(2, keepdims=True) * there[:, :, None]
+    x = a[:, :-1, :, None] * m * (e[:, 1:] * b[:, 1:])[:, :, None, :]
+    counts["moves"] = (x / x.sum((2, 3), keepdims=True) * there[:, 1:, None, None]).sum((0, 1))
+    for k, f in enumerate(FEATURES):
+        for v in range(counts[f].shape[1]):
+            counts[f][:, v] = g[obs[:, :, k] == v].sum(0)
+    return counts
+
+
+def starting_model() -> dict:
+    return {f: np.asarray(START[f]) for f in FEATURES} | {"moves": np.asarray(MOVES)}
+
+
+def next_model(counts: dict, prior: float = PRIOR) -> dict:
+    """The model of expected counts, to which the starting tables are added."""
+    whole = {k: counts[k] + prior * v for k, v in starting_model().items()}
+    return {k: np.maximum(v / v.sum(1, keepdims=True), 1e-6) for k, v in whole.items()}
 
 
 def segments(bloco: DataFrame, fonte: DataFrame) -> DataFrame:
-    """Text blocks with the segments they belong to or border on, and what their source prints."""
-    names = fonte.where("id is not null").groupBy(F.col("id").alias("fonte_id")).agg(F.max("titulo").alias("titulo"), F.max("orgao").alias("orgao"))
+    """Text blocks with their likeness to running lines and the segments they belong to or border on."""
     rows = bloco.where("fonte_id is not null and ord is not null and tipo = 'texto' and trim(coalesce(texto, '')) <> ''")
-    rows = rows.select("fonte_id", "ord", "pagina", "texto").join(names, "fonte_id", "left")
+    rows = rows.select("fonte_id", "ord", "pagina", "texto", F.trim(F.substring_index("texto", "\n", 1)).alias("linha"))
+    forms = written(running_forms(rows, fonte), "forms")
+    few = forms.count() <= SENT_OUT  # one short row a source
+    rows = rows.join(F.broadcast(forms) if few else forms, "fonte_id", "left")
+    # only a line that is not much longer than the longest form (a part, a rule, a page number) is taken apart
+    rows = rows.withColumn("_l", F.when(F.length("linha").between(6, 2 * F.col("maior") + 40), line_forms(F.col("linha"))))
+    rows = rows.withColumn("like", likeness(F.col("linha"), F.col("formas"), F.col("maior")).cast("int")).select("fonte_id", "ord", "pagina", "texto", "like")
     low, high = F.floor((F.col("ord") - HALO) / SEGMENT), F.floor((F.col("ord") + HALO) / SEGMENT)
     return rows.withColumn("seg", F.explode(F.sequence(F.greatest(low, F.lit(0)), F.greatest(high, F.lit(0)))))
 
@@ -231,17 +275,32 @@ def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def fitted_model(parts: DataFrame) -> dict:
-    """The model refined on at most SAMPLE segments, chosen by hash."""
-    keys = parts.select("fonte_id", "seg").distinct().orderBy(F.xxhash64("fonte_id", "seg")).limit(SAMPLE)
-    chosen = parts.join(F.broadcast(keys), ["fonte_id", "seg"])
+    """The model refined on all segments: their features are written once, and each round adds up their expected counts."""
 
     def features(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = _ordered(pdf)
-        lines = observe(pdf, pdf.titulo.iloc[0], pdf.orgao.iloc[0])
-        return pd.DataFrame({"obs": [lines[FEATURES].to_numpy("i1").tobytes()]})
-
-    got = chosen.groupBy("fonte_id", "seg").applyInPandas(features, "obs binary").collect()
-    return refine([np.frombuffer(r[0], "i1").reshape(-1, len(FEATURES)).astype(int) for r in got])
+        seg = int(pdf.seg.iloc[0])
+        lines = observe(_ordered(pdf))
+        own = ((lines.ord // SEGMENT).clip(lower=0) == seg).to_numpy()
+        return pd.DataFrame({"obs": [lines[FEATURES].to_numpy("i1")[own].tobytes()]})
+
+    seen = written(parts.groupBy("fonte_id", "seg").applyInPandas(features, "obs binary"), "features")
+    model, names = starting_model(), [*FEATURES, "moves"]
+    for _ in range(ROUNDS):
+
+        def count(batches: Iterator[pd.DataFrame], model: dict = model) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for i in range(0, len(b), 64):
+                    some = [np.frombuffer(x, "i1").reshape(-1, len(FEATURES)).astype(int) for x in b.obs.iloc[i : i + 64]]
+                    c = expected_counts(some, model)
+                    yield pd.DataFrame([(k, j, float(x)) for k in names for j, x in enumerate(c[k].ravel())], columns=["table", "at", "x"])
+
+        sums = seen.mapInPandas(count, "table string, at int, x double").groupBy("table", "at").agg(F.sum("x").alias("x")).collect()  # a fixed number of cells
+        counts = {k: np.zeros(np.shape(model[k])) for k in names}
+        for r in sums:
+            counts[r.table].flat[r["at"]] = r.x
+        model = next_model(counts)
+    discard(seen)
+    return model
 
 
 def labelled_lines(bloco: DataFrame, fonte: DataFrame) -> DataFrame:
@@ -258,7 +317,7 @@ def labelled_lines(bloco: DataFrame, fonte: DataFrame) -> DataFrame:
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
         source, seg = pdf.fonte_id.iloc[0], int(pdf.seg.iloc[0])
         pdf = _ordered(pdf)
-        lines = observe(pdf, pdf.titulo.iloc[0], pdf.orgao.iloc[0])
+        lines = observe(pdf)
         states = viterbi(lines[FEATURES].to_numpy(int), held.value)
         text = lines.texto.to_numpy()
         body = np.flatnonzero(states >= 2)
@@ -342,7 +401,13 @@ def misread_words(words: DataFrame) -> DataFrame:
     calls = near.where(F.col("t").rlike(r"\p{L}\d[\d,–-]*\z")).withColumn("stem", stem)
     calls = calls.join(words.select(F.col("t").alias("stem"), F.col("n").alias("k")), "stem").where(F.col("k") * RATIO >= F.col("m")).select("t")
     near = near.join(calls, "t", "left_anti").select("t", "w")
-    hidden = words.where(F.col("t").rlike(r"\p{L}.*[□\x{fffd}·]|[□\x{fffd}·].*\p{L}") & (F.length("t") >= 3)).select("t", F.lit(None).cast("string").alias("w"))
+    hidden = words.where(F.col("t").rlike(r"\p{L}.*[□\x{fffd}·]|[□\x{fffd}·].*\p{L}") & (F.length("t") >= 3)).select("t", F.translate("t", "□\ufffd·", "???").alias("mask"))
+    # every word with each of its characters hidden in turn: the most frequent one that fits is what was printed
+    plain = words.where(F.col("t").rlike(r"\A[\p{L}-]+\z") & (F.length("t") >= 3) & (F.col("n") >= 2))
+    masks = plain.select("t", "n", F.explode(F.sequence(F.lit(1), F.length("t"))).alias("i"))
+    masks = masks.select(F.concat(F.substring("t", 1, F.col("i") - 1), F.lit("?"), F.expr("substring(t, i + 1)")).alias("mask"), "n", "t")
+    masks = masks.join(hidden.select("mask").distinct(), "mask", "left_semi").groupBy("mask").agg(F.max(F.struct("n", "t")).alias("b"))
+    hidden = hidden.join(masks, "mask", "left").select("t", F.col("b.t").alias("w"))
     signs = words.where(F.col("t").rlike(r"\A[\p{L}@-]*@[\p{L}@-]*\z") & (F.length("t") >= 3)).join(near, "t", "left_anti")
     signs = signs.select("t", F.regexp_replace("t", "@", "a").alias("w"))
     return near.unionByName(hidden).unionByName(signs)
@@ -393,8 +458,8 @@ def found_noise(bloco: DataFrame, fonte: DataFrame) -> DataFrame:
 
 
 def paragraphs(bloco: DataFrame, fonte: DataFrame) -> DataFrame:
-    """(fonte_id, ord, linha, ord_final, texto): paragraphs of each source's body in reading order, by the place
-    and line where they open, with cut words joined and misread words replaced."""
+    """(fonte_id, ord, linha, parte, ord_final, texto): paragraphs of each source's body in reading order, by the place
+    and line where they open, with cut words joined and misread words replaced; parte is 0 but for very long ones."""
     lines = labelled_lines(bloco, fonte)
     wrong, cut = _repairs(lines)
     fixes = wrong.where("w is not null").groupBy("fonte_id", "ord").agg(F.map_from_entries(F.collect_list(F.struct("t", "w"))).alias("trocas"))
@@ -408,7 +473,8 @@ def paragraphs(bloco: DataFrame, fonte: DataFrame) -> DataFrame:
     zero = F.struct(F.lit(-1).cast("long").alias("ord"), F.lit(0).alias("n"))
     body = body.join(ends, ["fonte_id", "seg"]).withColumn("p", F.coalesce(F.last(opens, ignorenulls=True).over(within), "antes", zero))
     body = body.join(cut, ["fonte_id", "ord", "n"], "left").join(fixes, ["fonte_id", "ord"], "left")
-    rows = body.groupBy("fonte_id", "p").agg(
+    body = body.withColumn("parte", F.floor((F.col("ord") - F.greatest(F.col("p.ord"), F.lit(0))) / LONGEST).cast("int"))
+    rows = body.groupBy("fonte_id", "p", "parte").agg(
         F.sort_array(F.collect_list(F.struct("ord", "n", "texto", F.col("inteira").isNotNull().alias("cortada"), F.map_entries("trocas").alias("trocas")))).alias("x")
     )
     word = re.compile(r"\S+")
@@ -428,7 +494,7 @@ def paragraphs(bloco: DataFrame, fonte: DataFrame) -> DataFrame:
     def put_together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for source, p, x in zip(b.fonte_id, b.p, b.x):
+            for source, p, part, x in zip(b.fonte_id, b.p, b.parte, b.x):
                 text, glue = "", ""
                 for r in x:
                     line = re.sub(r"\s+", " ", mend(r["texto"], {e["key"]: e["value"] for e in (r["trocas"] if r["trocas"] is not None else [])})).strip()
@@ -438,7 +504,7 @@ def paragraphs(bloco: DataFrame, fonte: DataFrame) -> DataFrame:
                         text, glue = text.rstrip(HYPHENS), ""
                     elif text.endswith(tuple(HYPHENS)):
                         text, glue = text[:-1] + "-", ""
-                out.append((source, p["ord"], p["n"], x[-1]["ord"], unicodedata.normalize("NFC", text)))
-            yield pd.DataFrame(out, columns=["fonte_id", "ord", "linha", "ord_final", "texto"])
+                out.append((source, p["ord"], p["n"], part, x[-1]["ord"], unicodedata.normalize("NFC", text)))
+            yield pd.DataFrame(out, columns=["fonte_id", "ord", "linha", "parte", "ord_final", "texto"])
 
-    return rows.mapInPandas(put_together, "fonte_id string, ord long, linha int, ord_final long, texto string")
+    return rows.mapInPandas(put_together, "fonte_id string, ord long, linha int, parte int, ord_final long, texto string")

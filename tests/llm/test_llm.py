@@ -60,14 +60,65 @@ def test_scan_of_nothing(spark):
     assert scan_repair.paragraphs(blocks.where("false"), sources.where("false")).count() == 0
 
 
-def test_running_lines_and_numbers():
-    like = scan_repair.running_likeness
-    assert like("12  Rede Vale Claro · edição de 2020", "Guia de asma", "Rede Vale Claro") == 2
-    assert like("Precauções — Rede Va1e Claro 7", "Guia de asma", "Rede Vale Claro") == 2
-    assert like("na rede vale o registro claro da dose", "Guia de asma", "Rede Vale Claro") == 0
+def test_scan_noise_needs_no_row_of_the_source(spark):
+    blocks, sources = scan(spark, scanned())
+    want = {tuple(r) for r in scan_repair.found_noise(blocks, sources).collect()}
+    assert {tuple(r) for r in scan_repair.found_noise(blocks, sources.where("false")).collect()} == want
+
+
+def test_running_forms_and_likeness(spark):
+    pages = []
+    for p in range(1, 31):
+        pages += [(p, f"{'Precauções' if p < 12 else 'Doses'} — Rede Vale Claro {p}"), (p, "A dose deve ser dada em seis horas, e a avaliação repetida"), (p, f"{1 + p // 5}. MONITORAMENTO" if p % 5 == 0 else "em quatro semanas."), (p, f"Página {p} de 30")]
+    rows = spark.createDataFrame([("s", k, p, t) for k, (p, t) in enumerate(pages)], "fonte_id string, ord long, pagina int, linha string")
+    none = spark.createDataFrame([], "id string, titulo string, orgao string")
+    forms = scan_repair.running_forms(rows, none).first()
+    assert "rede vale claro" in forms.formas and not {"monitoramento", "precauções", "página de"} & set(forms.formas)
+    lines = ["12  Rede Vale Claro · edição de 2020", "Precauções — Rede Va1e Claro 7", "na rede vale o registro claro da dose", "Rede Vale Glaro", "Rede Va Cl4ro", "", "Rede"]
+    df = spark.createDataFrame([(k, t, forms.formas) for k, t in enumerate(lines)], "k int, linha string, formas array<string>")
+    df = df.withColumn("_l", scan_repair.line_forms(F.col("linha"))).select("k", scan_repair.likeness(F.col("linha"), F.col("formas"), F.lit(15)).alias("x"))
+    assert [r.x for r in df.orderBy("k").collect()] == [2, 2, 0, 2, 1, 0, 0]
+
+
+def test_page_numbers():
     assert [scan_repair.page_number(*x) for x in (("pág. 12", 12), ("Z9", 29), ("iv", 4), ("- l5 -", 15), ("313", 30), ("dias.", 3), ("12,5%", 12), ("Página 3 de 90", 3))] == [2, 2, 2, 2, 1, 0, 0, 2]
 
 
+def test_paths_by_chunks_are_those_of_the_whole():
+    rng = np.random.default_rng(8)
+    obs = np.stack([rng.choice(3, 1500, p=p) for p in ([0.9, 0.02, 0.08], [0.9, 0.05, 0.05], [0.8, 0.1, 0.1], [0.6, 0.3, 0.1])], 1)
+    model = scan_repair.starting_model()
+    tables, moves = scan_repair.log_tables(model)
+    e = scan_repair.log_emissions(obs, tables)
+    score, back = e[0].copy(), []
+    for row in e[1:]:
+        to = score[:, None] + moves
+        back.append(to.argmax(0))
+        score = to.max(0) + row
+    path = [int(score.argmax())]
+    for x in back[::-1]:
+        path.append(int(x[path[-1]]))
+    assert (scan_repair.viterbi(obs, model) == np.array(path[::-1])).all()
+    counts = scan_repair.expected_counts([obs[:700], obs[:1], obs[700:]], model)
+    assert np.isclose(counts["likeness"].sum(), 1500) and all(len(scan_repair.viterbi(obs[:n], model)) == n for n in (0, 1, 2, 256, 257))
+    refined = scan_repair.next_model(counts, 0.0)
+    assert np.allclose(refined["moves"].sum(1), 1, atol=1e-4)
+
+
+def test_hidden_characters_are_read_by_what_fits(spark):
+    words = spark.createDataFrame([("terapia", 50), ("tera�ia", 1), ("ter□pia", 1), ("t·r·pia", 1), ("dose", 9), ("dos�", 1), ("dosa", 3)], "t string, n long")
+    got = {r.t: r.w for r in scan_repair.misread_words(words).collect()}
+    assert got["tera�ia"] == got["ter□pia"] == "terapia" and got["dos�"] == "dose" and got["t·r·pia"] is None
+
+
+def test_long_paragraphs_come_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(scan_repair, "LONGEST", 8)
+    lines = [(1 + k // 10, "texto", "a dose deve ser dada em seis horas e depois") for k in range(40)]
+    blocks, sources = scan(spark, lines)
+    rows = scan_repair.paragraphs(blocks, sources).orderBy("ord", "parte").collect()
+    assert len(rows) >= 5 and sum(len(r.texto.split()) for r in rows) == 40 * 10 and all(r.ord_final - r.ord < 48 for r in rows)
+
+
 # --- 2
 
 
