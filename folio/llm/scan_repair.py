@@ -86,14 +86,18 @@ def line_forms(line: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(F.array(letters(line), whole_form(line)), parts), lambda x: F.length(x) >= 6))
 
 
-def running_forms(rows: DataFrame, fonte: DataFrame) -> DataFrame:
-    """(fonte_id, formas, maior): what each source prints on its pages, and the length of the longest form."""
+def running_forms(rows: DataFrame, fonte: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((fonte_id, formas, maior), (fonte_id, pagina, de, ate)): what each source prints on its pages, with the length of
+    the longest form, and where the text of each page begins and ends (page numbers left out)."""
     line = F.struct("ord", "linha")
     number, section = r"(?iU)\A" + _NUMBER.pattern.replace("?P<", "?<"), r"\A\s*\d+(?:\.\d+)*\.\s"
-    lines = rows.where((F.length(letters(F.col("linha"))) >= 6) & ~F.col("linha").rlike(number) & ~F.col("linha").rlike(section))
-    pages = lines.where("pagina is not null").groupBy("fonte_id", "pagina").agg(F.min(line).alias("a"), F.max(line).alias("b"))
+    # a long line is neither a number nor without letters: only short ones are looked at closely
+    text = (F.length("linha") > 60) | (F.length(letters(F.col("linha"))) >= 6) & ~F.col("linha").rlike(number)
+    pages = rows.where("pagina is not null").where(text).groupBy("fonte_id", "pagina").agg(F.min(line).alias("a"), F.max(line).alias("b"))
+    pages = written(pages.select("fonte_id", "pagina", "a", "b", F.col("a.ord").alias("de"), F.col("b.ord").alias("ate")), "pages")
     sizes = pages.groupBy("fonte_id").agg(F.count("*").alias("paginas"))
     edge = pages.select("fonte_id", "pagina", F.explode(F.array_distinct(F.array("a.linha", "b.linha"))).alias("linha"))
+    edge = edge.where(~F.col("linha").rlike(section))
     edge = written(edge.select("fonte_id", "pagina", "linha", F.explode(line_forms(F.col("linha"))).alias("forma")), "edges")
     # of each line only the part that the source prints on most pages counts: a heading beside it is none
     counts = edge.groupBy("fonte_id", "forma").agg(F.countDistinct("pagina").alias("n"))
@@ -105,21 +109,21 @@ def running_forms(rows: DataFrame, fonte: DataFrame) -> DataFrame:
     often = written(often.where((F.col("n") >= 3) & (F.col("n") >= REPEATED * F.col("paginas"))).select("fonte_id", "forma", "n"), "often")
     # what stands within pages more often than at their edges is text that repeats
     most, few = often.agg(F.max(F.length("forma")), F.count("*")).first()
-    every = lines.where(F.length("linha") <= 2 * (most or 0)).select("fonte_id", whole_form(F.col("linha")).alias("forma"))
+    every = rows.where(F.length("linha").between(6, (most or 0) + 24)).select("fonte_id", whole_form(F.col("linha")).alias("forma"))
     inside = every.join(F.broadcast(often) if few <= SENT_OUT else often, ["fonte_id", "forma"]).groupBy("fonte_id", "forma", "n").agg(F.count("*").alias("m"))
     often = often.join(inside.where("m > 2 * n"), ["fonte_id", "forma"], "left_anti").select("fonte_id", "forma")
     names = fonte.where("id is not null").select(F.col("id").alias("fonte_id"), F.explode(F.array(letters(F.col("titulo")), letters(F.col("orgao")))).alias("forma"))
     every = often.unionByName(names.where(F.length("forma") >= 6)).groupBy("fonte_id").agg(F.collect_set("forma").alias("formas"))
     # a form is on a tenth of the pages at least and a page has few: the array is short
-    return every.withColumn("maior", F.array_max(F.transform("formas", F.length)))
+    every = written(every.withColumn("maior", F.array_max(F.transform("formas", F.length))), "forms")
+    return every, pages.select("fonte_id", "pagina", "de", "ate")
 
 
-def likeness(line: Column, forms: Column, longest: Column) -> Column:
-    """2: a part of the line is a form, give or take one character in ten; 1: one in five; 0: it is not."""
-    near = lambda k: F.exists(
-        "_l", lambda x: F.exists(forms, lambda f: (F.abs(F.length(x) - F.length(f)) <= F.length(f) / k) & (F.levenshtein(x, f) <= F.floor(F.length(f) / k)))
-    )
-    return F.when(F.col("_l").isNull() | forms.isNull(), 0).when(near(10), 2).when(near(5), 1).otherwise(0)
+def likeness(forms: Column) -> Column:
+    """2: a part of the line (_l) is a form, give or take one character in ten; 1: one in five; 0: it is not."""
+    far = lambda x, f: F.when(F.abs(F.length(x) - F.length(f)) <= F.length(f) / 5, F.levenshtein(x, f) / F.length(f))
+    least = F.array_min(F.flatten(F.transform("_l", lambda x: F.transform(forms, lambda f: F.when(x == f, 0.0).otherwise(far(x, f))))))
+    return F.when(least <= 0.1, 2).when(least <= 0.2, 1).otherwise(0)
 
 
 def roman(s: str) -> int:
@@ -260,12 +264,13 @@ def segments(bloco: DataFrame, fonte: DataFrame) -> DataFrame:
     """Text blocks with their likeness to running lines and the segments they belong to or border on."""
     rows = bloco.where("fonte_id is not null and ord is not null and tipo = 'texto' and trim(coalesce(texto, '')) <> ''")
     rows = rows.select("fonte_id", "ord", "pagina", "texto", F.trim(F.substring_index("texto", "\n", 1)).alias("linha"))
-    forms = written(running_forms(rows, fonte), "forms")
-    few = forms.count() <= SENT_OUT  # one short row a source
-    rows = rows.join(F.broadcast(forms) if few else forms, "fonte_id", "left")
-    # only a line that is not much longer than the longest form (a part, a rule, a page number) is taken apart
-    rows = rows.withColumn("_l", F.when(F.length("linha").between(6, 2 * F.col("maior") + 40), line_forms(F.col("linha"))))
-    rows = rows.withColumn("like", likeness(F.col("linha"), F.col("formas"), F.col("maior")).cast("int")).select("fonte_id", "ord", "pagina", "texto", "like")
+    forms, pages = running_forms(rows, fonte)
+    sent = lambda df: F.broadcast(df) if df.count() <= SENT_OUT else df  # noqa: E731 - short rows, one a source or page
+    rows = rows.join(sent(forms), "fonte_id", "left").join(sent(pages), ["fonte_id", "pagina"], "left")
+    # a running line is among the first two or last two of its page: only these are taken apart
+    edge = F.col("de").isNull() | (F.col("ord") <= F.col("de") + 1) | (F.col("ord") >= F.col("ate") - 1)
+    rows = rows.withColumn("_l", F.when(edge & F.length("linha").between(6, 2 * F.col("maior") + 40), line_forms(F.col("linha"))))
+    rows = rows.withColumn("like", likeness(F.col("formas")).cast("int")).select("fonte_id", "ord", "pagina", "texto", "like")
     low, high = F.floor((F.col("ord") - HALO) / SEGMENT), F.floor((F.col("ord") + HALO) / SEGMENT)
     return rows.withColumn("seg", F.explode(F.sequence(F.greatest(low, F.lit(0)), F.greatest(high, F.lit(0)))))
 

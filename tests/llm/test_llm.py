@@ -72,11 +72,11 @@ def test_running_forms_and_likeness(spark):
         pages += [(p, f"{'Precauções' if p < 12 else 'Doses'} — Rede Vale Claro {p}"), (p, "A dose deve ser dada em seis horas, e a avaliação repetida"), (p, f"{1 + p // 5}. MONITORAMENTO" if p % 5 == 0 else "em quatro semanas."), (p, f"Página {p} de 30")]
     rows = spark.createDataFrame([("s", k, p, t) for k, (p, t) in enumerate(pages)], "fonte_id string, ord long, pagina int, linha string")
     none = spark.createDataFrame([], "id string, titulo string, orgao string")
-    forms = scan_repair.running_forms(rows, none).first()
+    forms = scan_repair.running_forms(rows, none)[0].first()
     assert "rede vale claro" in forms.formas and not {"monitoramento", "precauções", "página de"} & set(forms.formas)
     lines = ["12  Rede Vale Claro · edição de 2020", "Precauções — Rede Va1e Claro 7", "na rede vale o registro claro da dose", "Rede Vale Glaro", "Rede Va Cl4ro", "", "Rede"]
     df = spark.createDataFrame([(k, t, forms.formas) for k, t in enumerate(lines)], "k int, linha string, formas array<string>")
-    df = df.withColumn("_l", scan_repair.line_forms(F.col("linha"))).select("k", scan_repair.likeness(F.col("linha"), F.col("formas"), F.lit(15)).alias("x"))
+    df = df.withColumn("_l", scan_repair.line_forms(F.col("linha"))).select("k", scan_repair.likeness(F.col("formas")).alias("x"))
     assert [r.x for r in df.orderBy("k").collect()] == [2, 2, 0, 2, 1, 0, 0]
 
 
