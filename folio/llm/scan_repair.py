@@ -109,7 +109,7 @@ def running_forms(rows: DataFrame, fonte: DataFrame) -> tuple[DataFrame, DataFra
     often = written(often.where((F.col("n") >= 3) & (F.col("n") >= REPEATED * F.col("paginas"))).select("fonte_id", "forma", "n"), "often")
     # what stands within pages more often than at their edges is text that repeats
     most, few = often.agg(F.max(F.length("forma")), F.count("*")).first()
-    every = rows.where(F.length("linha").between(6, (most or 0) + 24)).select("fonte_id", whole_form(F.col("linha")).alias("forma"))
+    every = rows.where(F.length("linha").between(6, (most or 0) + 24)).select("fonte_id", letters(F.col("linha")).alias("forma"))
     inside = every.join(F.broadcast(often) if few <= SENT_OUT else often, ["fonte_id", "forma"]).groupBy("fonte_id", "forma", "n").agg(F.count("*").alias("m"))
     often = often.join(inside.where("m > 2 * n"), ["fonte_id", "forma"], "left_anti").select("fonte_id", "forma")
     names = fonte.where("id is not null").select(F.col("id").alias("fonte_id"), F.explode(F.array(letters(F.col("titulo")), letters(F.col("orgao")))).alias("forma"))
