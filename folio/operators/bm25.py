@@ -12,6 +12,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,10 +21,12 @@ from pyspark.sql.window import Window
 from folio.config import B, DEPTH, K1
 from folio.functions.tokens import tokens
 from folio.operators.best import CELLS, Best
+from folio.session import written
 
 FIXED = 1e12
 TIE = 1000  # of those units: scores that agree to 9 digits tie
 BROADCAST_ROWS = 200_000  # query terms up to which the query side is broadcast
+SENT = 1 << 18  # scores that go to Spark in one batch
 FEW = 64  # products of a term (queries by pieces) up to which terms are worked off together
 VALID = "term is not null and term <> '' and doc_ord is not null and tf > 0"
 
@@ -60,43 +64,101 @@ def idf(frequencies: DataFrame, stats: DataFrame) -> DataFrame:
     return frequencies.join(F.broadcast(stats)).select("term", "df", idf_value(F.col("n"), F.col("df")).alias("idf"))
 
 
-def asked_weights(postings: DataFrame, queries: DataFrame) -> tuple[DataFrame, float]:
-    """((term, idf) of the terms asked for, avgdl). df and lengths come from all postings.
+def filed(postings: DataFrame, names: DataFrame | None = None, by: str = "doc_ord") -> DataFrame:
+    """(doc_ord, dl, t, f, keys): the pieces with their terms and frequencies as lists, and what they are returned as.
 
-    The two statistics of the collection come to the driver, so that they are computed once; the terms
-    are sent to every task as long as they are few, and then no posting is shuffled by term.
+    The postings are shuffled once, and the result is written: statistics and scores then come from it without a shuffle.
+    names: (doc_ord, by) of the pieces that may be returned; the others have null keys.
     """
-    stats = corpus_stats(doc_lengths(postings)).first()
-    terms = queries.select("term").distinct()
-    few = terms.count() <= BROADCAST_ROWS
-    hint = F.broadcast if few else lambda df: df
-    found = postings.join(hint(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    return hint(found.select("term", idf_value(F.lit(float(stats.n)), F.col("df")).alias("idf"))), stats.avgdl
+    docs = postings.groupBy("doc_ord").agg(F.sum("tf").cast("double").alias("dl"), F.collect_list(F.struct("term", "tf")).alias("x"))
+    if names is None:
+        docs = docs.withColumn("keys", F.array("doc_ord"))
+    else:
+        docs = docs.join(names.groupBy("doc_ord").agg(F.collect_set(by).alias("keys")), "doc_ord", "left")
+    return written(docs.select("doc_ord", "dl", F.col("x.term").alias("t"), F.col("x.tf").alias("f"), "keys"), "docs")
+
+
+def returned(docs: DataFrame) -> DataFrame:
+    """(key, dl, t, f) of the filed pieces that may be returned."""
+    return docs.select(F.explode("keys").alias("key"), "dl", "t", "f").where("key is not null")
+
+
+def _block(docs: DataFrame, asked: DataFrame, n: int) -> tuple:
+    """What a task needs of a block of queries: ids, terms, their idf, and (code of term, place of id, times) sorted by term."""
+    rows = asked.toArrow()
+    q, t = (rows[c].combine_chunks().dictionary_encode("encode") for c in ("q", "term"))
+    terms = t.dictionary
+    found = docs.select(F.explode("t").alias("term")).join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
+    df = found.groupBy("term").agg(F.count("*").alias("df")).toPandas().set_index("term").df
+    df = df.reindex(terms.to_pylist()).fillna(0).to_numpy("f8")
+    code, at, times = t.indices.to_numpy(), q.indices.to_numpy(), rows["times"].to_numpy().astype("i8")
+    order = np.argsort(code, kind="stable")
+    return q.dictionary, terms, np.log(1 + (n - df + 0.5) / (df + 0.5)), code[order].astype("i4"), at[order].astype("i4"), times[order]
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.where("term is not null").groupBy("q", "term").agg(F.count("*").alias("times"))
+
 
+def _parts(d: pa.RecordBatch, terms: pa.Array, idf: np.ndarray, avgdl: float, k1: float, b: float) -> tuple:
+    """(code of term, place of piece, part) of the postings of known terms in a batch of filed pieces, sorted by term."""
+    dt = pc.fill_null(pc.index_in(d.column("t").flatten(), value_set=terms), -1).to_numpy()
+    known = np.flatnonzero(dt >= 0)
+    known = known[np.argsort(dt[known], kind="stable")]
+    di = np.repeat(np.arange(d.num_rows), pc.list_value_length(d.column("t")).to_numpy())[known]
+    dt, tf, dl = dt[known], d.column("f").flatten().to_numpy()[known].astype("f8"), d.column("dl").to_numpy()[di]
+    return dt, di, half_away(idf[dt] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl)) * FIXED).astype("i8")
 
-def term_part(tf, dl, idf, avgdl: float, k1: float, b: float):
-    """What a term adds to a piece's score, as a whole multiple of 1 / FIXED."""
-    return F.round(idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.lit(avgdl))) * FIXED).cast("long")
 
+def half_away(x: np.ndarray) -> np.ndarray:
+    """Whole numbers, halves away from zero: as round() of SQL."""
+    whole = np.trunc(x)
+    return whole + np.copysign(np.abs(x - whole) >= 0.5, x)
 
-def bm25_scores(postings: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, mask: DataFrame | None = None) -> DataFrame:
+
+def bm25_scores(
+    postings: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, mask: DataFrame | None = None, digits: int | None = None
+) -> DataFrame:
     """(q, doc_ord, score) of every matching piece; unmatched pieces score 0 and are not listed.
 
     mask: a DataFrame of doc_ord that may be returned. It is applied after scoring and changes no score.
+    digits: those that scores are rounded to, as SQL rounds them.
+    The result has about a row for each query and piece; a join makes one for each of their common terms, and its
+    sums spill. Here a task adds up a matrix of queries by pieces (CELLS at a time) and passes its cells on: what
+    is shuffled is the postings, once. Queries are sent out in blocks of about BROADCAST_ROWS terms.
     """
-    asked = queries.groupBy("q", "term").agg(F.count("*").alias("times"))
-    if asked.count() <= BROADCAST_ROWS:  # then no posting is shuffled by term
-        asked = F.broadcast(asked)
-    weights, avgdl = asked_weights(postings, queries)
-    parts = (
-        postings.join(weights, "term")
-        .join(doc_lengths(postings), "doc_ord")
-        .select("term", "doc_ord", term_part(F.col("tf"), F.col("dl"), F.col("idf"), avgdl, k1, b).alias("part"))
-    )
-    # by piece before queries multiply the rows: the sums per query and piece then need no further shuffle
-    parts = parts.repartition(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_ord")
-    scored = parts.join(asked, "term").groupBy("q", "doc_ord").agg((F.sum(F.col("part") * F.col("times")) / FIXED).alias("score"))
-    return scored if mask is None else scored.join(mask.select("doc_ord").distinct(), "doc_ord", "left_semi")
+    docs, asked = filed(postings, mask), _asked(queries)
+    n, avgdl = corpus_stats(docs).first()
+    kinds = dict(queries.dtypes)["q"], dict(postings.dtypes)["doc_ord"]
+    blocks = max(1, -(-asked.count() // BROADCAST_ROWS))
+
+    def one(block: int) -> DataFrame:
+        held = docs.sparkSession.sparkContext.broadcast(_block(docs, asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block), n))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, terms, idf, *q = held.value
+            step = max(1, CELLS // max(1, len(ids)))
+            for whole in batches:
+                for i in range(0, whole.num_rows if len(ids) else 0, step):
+                    d = whole.slice(i, step)
+                    dt, di, dv = _parts(d, terms, idf, avgdl, k1, b)
+                    out = np.zeros((len(ids), d.num_rows), "i8")
+                    _add_up(out, q, (dt, di, dv))
+                    hit = out
+                    if (dv <= 0).any():  # then a sum of 0 may be that of a match
+                        hit = np.zeros(out.shape, "i8")
+                        _add_up(hit, (q[0], q[1], np.ones_like(q[2])), (dt, di, np.ones_like(dv)))
+                    rows = max(1, SENT // d.num_rows)
+                    for a in range(0, len(ids), rows):
+                        at, col = np.nonzero(hit[a : a + rows])
+                        score = out[a + at, col] / FIXED
+                        if digits is not None:
+                            score = half_away(score * 10.0**digits) / 10.0**digits
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(a + at)), d.column("key").take(pa.array(col)), pa.array(score)], ["q", "doc_ord", "score"])
+
+        return returned(docs).mapInArrow(scan, f"q {kinds[0]}, doc_ord {kinds[1]}, score double")
+
+    return reduce(DataFrame.unionByName, [one(i) for i in range(blocks)])
 
 
 def top_k(scores: DataFrame, k: int = DEPTH, by: str = "doc_ord") -> DataFrame:

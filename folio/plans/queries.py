@@ -286,7 +286,8 @@ def idf(spark, d):
 
 @query(f"with {_SCORES} select q, doc_ord, round(score, 6) as score from s")
 def bm25_scores(spark, d):
-    return bm25.bm25_scores(postings(spark, d), piece_queries(spark, d)).withColumn("score", F.round("score", 6))
+    asked = written(piece_queries(spark, d), "asked")
+    return bm25.bm25_scores(postings(spark, d), asked, digits=6)
 
 
 def _rounded(df: DataFrame) -> DataFrame:

@@ -167,6 +167,39 @@ def test_bm25_top_k_equals_the_scores_of_the_join(spark):
     assert bm25.bm25_top_k(posts.where("false"), asked).count() == 0 and bm25.bm25_top_k(posts, asked.where("false")).count() == 0
 
 
+def slow_scores(rows, asked):
+    n, dl, df = len({d for _, d, _ in rows}), {}, {}
+    for t, d, tf in rows:
+        dl[d], df[t] = dl.get(d, 0) + tf, df.get(t, 0) + 1
+    avg, out = sum(dl.values()) / n, {}
+    for q, _, term in asked:
+        for t, d, tf in rows:
+            if t == term:
+                idf = math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5))
+                out[q, d] = out.get((q, d), 0) + idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl[d] / avg))
+    return out
+
+
+def test_bm25_scores_need_no_shuffle_and_no_join(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(f"t{t}", d, int(rng.integers(1, 5))) for d in range(70) for t in {*(rng.zipf(1.3, 30) % 60).tolist()}]
+    rows += [("twice", d, tf) for d in range(70) for tf in (1, 2)]  # more postings than pieces: its share is negative
+    asked = [(f"q{q}", i, f"t{t}") for q in range(12) for i, t in enumerate(rng.integers(0, 65, 15).tolist())] + [("q0", 15, "twice"), ("only", 0, "twice"), ("none", 0, None)]
+    posts, queries = spark.createDataFrame(rows, "term string, doc_ord long, tf int"), spark.createDataFrame(asked, "q string, pos int, term string")
+    monkeypatch.setattr(bm25, "BROADCAST_ROWS", 40)
+    monkeypatch.setattr(bm25, "CELLS", 60)
+    monkeypatch.setattr(bm25, "SENT", 50, raising=False)
+    df = bm25.bm25_scores(posts, queries)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan  # a row for each query, piece and common term fills the disk
+    got, want = {(r.q, r.doc_ord): r.score for r in df.collect()}, slow_scores(rows, asked)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert sum(q == "only" and x < 0 for (q, _), x in got.items()) == 70
+    short = {(r.q, r.doc_ord): r.score for r in bm25.bm25_scores(posts, queries, mask=posts.where("doc_ord < 9").select("doc_ord"), digits=3).collect()}
+    assert short.keys() == {k for k in got if k[1] < 9} and all(abs(short[k] - got[k]) < 5.1e-4 and round(short[k], 3) == short[k] for k in short)
+    assert bm25.half_away(np.array([0.5, 1.5, -0.5, -1.2, 2.4999])).tolist() == [1, 2, -1, -1, 2]
+
+
 SHELF = [
     ("calendario#1", "vacina ighvz dose esquema", ["pediatria", "preventiva"], "f1", False, [1, 0, 0]),
     ("asma#1", "asma esquema dose", ["clinica-medica", "pediatria"], "f2", False, [0, 1, 0]),
