@@ -202,61 +202,52 @@ def bm25_top_k(
     list a piece, and a task adds up a matrix of queries by pieces (at most CELLS at a time), of which only
     its k best per query travel on. Queries are sent out in blocks of about BROADCAST_ROWS terms and pairs.
     """
-    spark = postings.sparkSession
-    stats = corpus_stats(doc_lengths(postings)).first()
-    docs = postings.groupBy("doc_ord").agg(F.sum("tf").cast("double").alias("dl"), F.collect_list(F.struct("term", "tf")).alias("x"))
-    if names is not None:
-        docs = docs.join(names.select("doc_ord", by).distinct(), "doc_ord")
-    docs = docs.select(F.col(by).alias("key"), "dl", F.col("x.term").alias("t"), F.col("x.tf").alias("f"))
-    kinds = dict(docs.dtypes)["key"], dict(queries.dtypes)["q"]
-    asked = queries.groupBy("q", "term").agg(F.count("*").alias("times"))
+    docs, asked = filed(postings, names, by), _asked(queries)
+    n, avgdl = corpus_stats(docs).first()
+    ready = returned(docs)
+    kinds = dict(ready.dtypes)["key"], dict(queries.dtypes)["q"]
     blocks = max(1, -(-(asked.count() + (pairs.count() if pairs is not None else 0)) // BROADCAST_ROWS))
 
     def one(block: int) -> DataFrame:
         mine = F.pmod(F.xxhash64("q"), F.lit(blocks)) == block
-        pdf = asked.where(mine).toPandas()
-        ids, at = np.unique(pdf.q.to_numpy(), return_inverse=True)
-        terms, code = np.unique(pdf.term.to_numpy().astype(str), return_inverse=True)
-        df = postings.join(F.broadcast(asked.where(mine).select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")).toPandas()
-        df = df.set_index("term").df.reindex(terms).fillna(0).to_numpy("f8")
-        idf = np.log(1 + (stats.n - df + 0.5) / (df + 0.5))
-        order = np.argsort(code, kind="stable")
+        ids, *sent = _block(docs, asked.where(mine), n)
         more = pairs.where(mine).select("q", F.col(by).alias("key")).toPandas().sort_values("key") if pairs is not None else None
         if more is not None:
-            more = more[more.q.isin(ids)]
+            at = pd.Index(ids.to_pandas()).get_indexer(more.q)
+            more, at = more[at >= 0], at[at >= 0]
             keys, start = np.unique(more.key.to_numpy(), return_index=True)
-            more = (keys, np.append(start, len(more)), np.searchsorted(ids, more.q.to_numpy()))
-        held = spark.sparkContext.broadcast((ids, terms, idf, more, code[order].astype("i4"), at[order].astype("i4"), pdf.times.to_numpy("i8")[order]))
+            more = (keys, np.append(start, len(more)), at)
+        held = docs.sparkSession.sparkContext.broadcast((ids, more, *sent))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, more, terms, idf, *q = held.value
 
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, terms, idf, more, *q = held.value
-            best, code = Best(len(ids), k), pd.Index(terms)
+            def rows(qs: np.ndarray, keys: pa.Array, score: np.ndarray, top: bool) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([ids.take(pa.array(qs)), keys, pa.array(score * (TIE / FIXED)), pa.array(np.full(len(qs), top))], ["q", "key", "score", "top"])
+
+            best, kind = Best(len(ids), k), None
             wanted = pd.Index(more[0]) if more else None
             step = max(1, CELLS // max(1, len(ids)))
             for whole in batches:
-                for i in range(0, len(whole) if len(ids) else 0, step):
-                    d = whole.iloc[i : i + step]
-                    keys, n = d.key.to_numpy(), d.f.map(len).to_numpy()
-                    dt, tf = code.get_indexer(np.concatenate(d.t.to_numpy())), np.concatenate(d.f.to_numpy()).astype("f8")
-                    known = np.flatnonzero(dt >= 0)
-                    known = known[np.argsort(dt[known], kind="stable")]
-                    di, dt, tf = np.repeat(np.arange(len(d)), n)[known], dt[known], tf[known]
-                    dv = np.rint(idf[dt] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * d.dl.to_numpy()[di] / stats.avgdl)) * FIXED).astype("i8")
+                kind = whole.schema.field("key").type
+                for i in range(0, whole.num_rows if len(ids) else 0, step):
+                    d = whole.slice(i, step)
+                    keys = d.column("key").to_numpy(zero_copy_only=False)
                     out = np.zeros((len(ids), len(keys)), "i8")
-                    _add_up(out, q, (dt, di, dv))
+                    _add_up(out, q, _parts(d, terms, idf, avgdl, k1, b))
                     out = ((out + TIE // 2) // TIE).astype("f8")
                     best.offer(out, keys, least=1.0)
                     if more:
                         at = wanted.get_indexer(keys)
                         col = np.flatnonzero(at >= 0)
-                        lo, n = more[1][at[col]], more[1][at[col] + 1] - more[1][at[col]]
-                        col, qs = np.repeat(col, n), more[2][np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)]
-                        yield pd.DataFrame({"q": ids[qs], "key": keys[col], "score": out[qs, col] * (TIE / FIXED), "top": False})
+                        lo, m = more[1][at[col]], more[1][at[col] + 1] - more[1][at[col]]
+                        col, qs = np.repeat(col, m), more[2][np.arange(m.sum()) + np.repeat(lo - np.cumsum(m) + m, m)]
+                        yield rows(qs, d.column("key").take(pa.array(col)), out[qs, col], False)
             got = best.result()
             if got:
-                yield pd.DataFrame({"q": ids[got[0]], "key": got[1], "score": got[2] * (TIE / FIXED), "top": True})
+                yield rows(got[0], pa.array(got[1], kind), got[2], True)
 
-        return docs.mapInPandas(scan, f"q {kinds[1]}, key {kinds[0]}, score double, top boolean")
+        return ready.mapInArrow(scan, f"q {kinds[1]}, key {kinds[0]}, score double, top boolean")
 
     found = reduce(DataFrame.unionByName, [one(i) for i in range(blocks)])
     place = F.row_number().over(Window.partitionBy("q", "top").orderBy(F.desc("score"), "key"))

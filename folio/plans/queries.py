@@ -290,10 +290,6 @@ def bm25_scores(spark, d):
     return bm25.bm25_scores(postings(spark, d), asked, digits=6)
 
 
-def _rounded(df: DataFrame) -> DataFrame:
-    return df.withColumn("score", F.round("score", 9))
-
-
 @query(f"with {_SCORES}, r as (select q, doc_ord, round(score, 9) as score, row_number() over (partition by q order by round(score, 9) desc, doc_ord) as rank from s) select q, doc_ord, round(score, 6) as score, rank from r where rank <= 50")
 def bm25_topk(spark, d):
     asked = written(piece_queries(spark, d), "asked")
@@ -307,8 +303,8 @@ def bm25_topk(spark, d):
 )
 def bm25_masked(spark, d):
     mask = pieces(spark, d).where(search.Filter(kinds=("texto",)).column()).select(F.col("ord").alias("doc_ord"))
-    got = bm25.top_k(_rounded(bm25.bm25_scores(postings(spark, d), piece_queries(spark, d), mask=mask)))
-    return got.withColumn("score", F.round("score", 6))
+    asked = written(piece_queries(spark, d), "asked")
+    return bm25.bm25_top_k(postings(spark, d), asked, names=mask).withColumn("score", F.round("score", 6))
 
 
 @query(f"with {_SCORES.replace('sum(round(', '2 * sum(round(')} select q, doc_ord, round(score, 6) as score from s")

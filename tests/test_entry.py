@@ -43,6 +43,13 @@ def test_query(spark, views, name):
         assert plain(got) == plain(rel.select(*[f'"{c}"' for c in cols]).fetchall())
 
 
+def test_masked_ranking_makes_no_row_for_each_pair(spark):
+    from folio.plans import queries as core
+
+    plan = core.queries()["bm25_masked"](spark, D)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "MapInArrow" in plan
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

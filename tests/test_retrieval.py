@@ -200,6 +200,18 @@ def test_bm25_scores_need_no_shuffle_and_no_join(spark, monkeypatch):
     assert bm25.half_away(np.array([0.5, 1.5, -0.5, -1.2, 2.4999])).tolist() == [1, 2, -1, -1, 2]
 
 
+def test_bm25_top_k_under_a_mask_of_pieces(spark):
+    rows = [(t, d, 1 + (d + i) % 3) for d in range(40) for i, t in enumerate(("de", f"t{d % 4}", f"u{d % 7}"))]
+    asked = [(q, i, t) for q in (0, 1) for i, t in enumerate(("de", f"t{q}", "u3"))]
+    posts, queries = spark.createDataFrame(rows, "term string, doc_ord long, tf int"), spark.createDataFrame(asked, "q long, pos int, term string")
+    mask = spark.createDataFrame([(d,) for d in (*range(0, 40, 3), 3, 999)], "doc_ord long")
+    got = bm25.bm25_top_k(posts, queries, 6, names=mask)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {k: round(x, 9) for k, x in slow_scores(rows, asked).items() if k[1] % 3 == 0}
+    best = [(q, d, i) for q in (0, 1) for i, d in enumerate(sorted((d for p, d in want if p == q), key=lambda d: (-want[q, d], d))[:6], 1)]
+    assert [(r.q, r.doc_ord, r["rank"]) for r in got.orderBy("q", "rank").collect()] == best
+
+
 SHELF = [
     ("calendario#1", "vacina ighvz dose esquema", ["pediatria", "preventiva"], "f1", False, [1, 0, 0]),
     ("asma#1", "asma esquema dose", ["clinica-medica", "pediatria"], "f2", False, [0, 1, 0]),
