@@ -311,7 +311,7 @@ def bm25_masked(spark, d):
 def bm25_repeated_term(spark, d):
     """Every query token twice: a repeated token counts again."""
     twice = piece_queries(spark, d).withColumn("pos", F.explode(F.array(2 * F.col("pos"), 2 * F.col("pos") + 1)))
-    return bm25.bm25_scores(postings(spark, d), twice).withColumn("score", F.round("score", 6))
+    return bm25.bm25_scores(postings(spark, d), written(twice, "asked"), digits=6)
 
 
 # --- the dense arm ----------------------------------------------------------------------------------------------

@@ -50,6 +50,17 @@ def test_masked_ranking_makes_no_row_for_each_pair(spark):
     assert "Join" not in plan and "MapInArrow" in plan
 
 
+def test_repeated_terms_make_no_row_for_each_pair_and_term(spark):
+    from folio.plans import queries as core
+
+    df = core.queries()["bm25_repeated_term"](spark, D)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    once = {(r.q, r.doc_ord): r.score for r in core.queries()["bm25_scores"](spark, D).collect()}
+    twice = {(r.q, r.doc_ord): r.score for r in df.collect()}
+    assert twice.keys() == once.keys() and all(abs(twice[k] - 2 * once[k]) < 2e-6 for k in once)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
